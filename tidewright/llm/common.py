@@ -5,9 +5,11 @@ Null and edge cases of every operator are stated in its own docstring.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,11 @@ BROADCAST_ROWS = 500_000
 
 
 def tune(spark: SparkSession) -> None:
-    """Sets what the Arrow operators rely on for bounded memory."""
+    """Sets what the Arrow operators rely on for bounded memory, and lets workers import this package from where it lies."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
 def shared_dir(spark: SparkSession) -> str:
