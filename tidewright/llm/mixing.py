@@ -12,16 +12,14 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Bits of the hash, and of them those that one histogram looks at.
 BITS, STEP = 60, 12
 
-_SIZE = "regexp_count(text, '[^ \\\\t-\\\\r]++')"
+_SIZE = "cast(coalesce(regexp_count(text, '[^ \\\\t-\\\\r]++'), 0) as long)"
+_HASH = "cast(conv(substring(md5(coalesce(cast(doc_id as string), concat('null:', md5(coalesce(text, ''))))), 1, 15), 16, 10) as long)"
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words), and a 60-bit hash of doc_id, or of the text where doc_id is null."""
     rows = docs.select("doc_id", docs["source"].cast("string").alias("source"), docs["text"].cast("string").alias("text"))
-    return rows.selectExpr(
-        "doc_id", "source", f"cast(coalesce({_SIZE}, 0) as long) as size",
-        "cast(conv(substring(md5(coalesce(cast(doc_id as string), concat('null:', md5(coalesce(text, ''))))), 1, 15), 16, 10) as long) as hash",
-    )
+    return rows.selectExpr("doc_id", "source", f"{_SIZE} as size", f"{_HASH} as hash")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -45,23 +43,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", target.alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, extra_words, source: one row for each of docs.
-
-    Every document is taken `copies` times whole; those whose hash lies under their source's threshold once more.
-    The threshold is found by histograms of words by source and hash bucket: the bucket in which the budget runs out
-    is the only one that the next, finer histogram looks at, until it holds one hash. The documents with that hash,
-    mostly one, are cut (extra_words each), so that a source's taken words meet its target to the word, or with k
-    rows of one hash within k words. copies and cut never exceed `most` times a document.
+def thresholds(slim: DataFrame, folder: str, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """key (a struct of source), source_size, target, copies, cut, each: how often and below which hash to take documents.
 
-    The rows' sizes and hashes are written to the shared folder and read by every step; histograms are aggregated
-    before their shuffle, so a hot source is no hot task. A null source is a source; null texts have size 0; null
-    ids hash by text; repeated rows share a hash and are treated alike. Reruns agree: hashes alone decide.
+    slim: source, size, hash. The threshold is found by histograms of words by source and hash bucket: the bucket in
+    which the budget runs out is the only one that the next, finer histogram looks at, until it holds one hash.
+    Histograms are aggregated before their shuffle, so a hot source is no hot task.
     """
-    spark = docs.sparkSession
-    folder = shared_dir(spark)
-    slim = written(sized(docs), f"{folder}/sizes")
-    per = written(targets(slim, weights, share, most).withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.floor(F.col("target") - F.col("copies") * F.col("source_size"))), f"{folder}/sources")
+    per = targets(slim, weights, share, most)
+    per = per.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    per = written(per.withColumn("rest", F.floor(F.col("target") - F.col("copies") * F.col("source_size"))), f"{folder}/sources")
     n_sources = per.count()
     keyed = slim.withColumn("key", F.struct("source"))
     state = per.select(F.struct("source").alias("key"), "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
@@ -77,12 +68,48 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
             break
     cut = state.select(F.col("key.source").alias("source"), F.col("least").alias("cut"), F.floor((F.col("rest") - F.col("before")) / F.col("rows")).alias("each"))
     per = per.join(cut, per["source"].eqNullSafe(cut["source"]), "left").drop(cut["source"])
-    at = per.select(F.struct("source").alias("key"), "source_size", "target", "copies", "cut", "each")
-    out = join_small(keyed, at, "key", "left", n_sources)
-    more = F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
-    extra = F.when(F.col("hash") == F.col("cut"), F.least("size", "each")).otherwise(0)
-    out = out.withColumn("whole", F.col("copies") + more).withColumn("extra_words", extra.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra_words")).cast("long").alias("taken"), F.col("whole").cast("long").alias("copies"), "extra_words", "source")
+    return written(per.select(F.struct("source").alias("key"), "source_size", "target", "copies", "cut", "each"), f"{folder}/thresholds")
+
+
+def _taken(hash_: str, size: str) -> tuple:
+    """(whole copies, words of a further, cut copy) of a row joined with its source's thresholds."""
+    whole = F.col("copies") + F.when(F.col(hash_) < F.col("cut"), 1).otherwise(0)
+    return whole.cast("long"), F.when(F.col(hash_) == F.col("cut"), F.least(size, "each")).otherwise(0).cast("long")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, extra_words, source: one row for each of docs.
+
+    Every document is taken `copies` times whole: as often as its whole source is, and once more if its hash lies
+    under the source's threshold. The documents with the threshold's hash, mostly one, are cut (extra_words each), so
+    that a source's taken words meet its target to the word, or with k rows of one hash within k words. Copies and
+    cut never exceed `most` times a document.
+
+    The rows' sizes and hashes are written to the shared folder and read by every step. A null source is a source;
+    null texts have size 0; null ids hash by text; repeated rows share a hash and are treated alike; an empty table
+    gives no rows. Reruns agree: hashes alone decide.
+    """
+    folder = shared_dir(docs.sparkSession)
+    slim = written(sized(docs), f"{folder}/sizes")
+    at = thresholds(slim, folder, weights, share, most)
+    out = join_small(slim.withColumn("key", F.struct("source")), at, "key", "left")
+    whole, extra = _taken("hash", "size")
+    out = out.withColumn("whole", whole).withColumn("extra_words", extra)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra_words")).alias("taken"), F.col("whole").alias("copies"), "extra_words", "source")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them.
+
+    A document that mixed() would cut is taken whole once more if at least half of it fits, so texts stay whole.
+    """
+    folder = shared_dir(docs.sparkSession)
+    slim = written(sized(docs), f"{folder}/sizes")
+    at = thresholds(slim, folder, weights, share, most)
+    out = docs.withColumn("key", F.struct(docs["source"].cast("string").alias("source"))).withColumn("__size", F.expr(_SIZE)).withColumn("__hash", F.expr(_HASH))
+    whole, extra = _taken("__hash", "__size")
+    out = join_small(out, at, "key", "inner").withColumn("__n", (whole + F.when((extra > 0) & (2 * extra >= F.col("__size")), 1).otherwise(0)).cast("int"))
+    return out.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 #: What mixed() returns, by sorting: for DuckDB.

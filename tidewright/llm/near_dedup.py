@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import blocks, join_skewed, join_small, shared_dir, texts, tune, written
@@ -145,3 +145,22 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool
     out = join_skewed(slim.select("doc_id", "v"), keyed, "v", "n", n_docs)
     alone = F.col("label").isNull()
     return out.select("doc_id", "v", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("label", "v").alias("label"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, all columns, without those that near_classes puts in a class with an earlier one.
+
+    Of each class, the row with the least doc_id stays (null ids last; then the least hash of the text; of repeated
+    rows one). Only rows of classes of several are shuffled with their texts, and each task passes on one row a class.
+    """
+    classes = written(near_classes(docs, similarity), f"{shared_dir(docs.sparkSession)}/near")
+    # the label of every text that isn't alone: one row a text
+    per_text = classes.groupBy("v").agg(F.first("label").alias("label"), F.count("*").alias("n"))
+    per_class = per_text.groupBy("label").agg(F.sum("n").alias("rows"))
+    labels = per_text.join(per_class.filter("rows > 1").select("label"), "label").select(F.col("v").alias("__v"), F.col("label").alias("__label"), F.col("n").alias("__n"))
+    rows = docs.withColumn("__v", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    both = join_skewed(rows, written(labels, f"{shared_dir(docs.sparkSession)}/labels"), "__v", "__n", classes.count())
+    several = both.filter(F.col("__label").isNotNull())
+    first = Window.partitionBy("__label").orderBy(F.col("doc_id").asc_nulls_last(), "__v")
+    several = several.withColumn("__r", F.row_number().over(first)).filter("__r = 1")
+    return both.filter(F.col("__label").isNull()).select(*docs.columns).union(several.select(*docs.columns))

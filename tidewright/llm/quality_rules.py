@@ -182,36 +182,56 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "repeat_chars", "n_repeats")
+
+
+def measured(text: pa.Array, max_covered: float, max_longest: int, max_longest_share: float) -> tuple[np.ndarray, ...]:
+    """The measures of NAMES for some texts (no nulls)."""
+    data, bounds = text_bytes(text)
+    word_chars = ranges_sum(_WORD_START[data], bounds)
+    symbols = ranges_sum(_SYMBOL[data], bounds)
+    words, codes, off = chunked(text)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    n = np.diff(off)
+    covered, longest, starts = repeats(codes, off)
+    n_covered = sums(covered, off)
+    covered_chars = sums(np.where(covered, lengths[codes], 0) if len(codes) else np.zeros(0, np.int64), off)
+    n_starts = np.diff(np.searchsorted(starts, off))
+    lines = np.fromiter(map(duplicate_lines, text.to_pylist()), np.int64, len(text))
+    failed = (n < MIN_WORDS) | (100 * n_covered > MAX_REPEAT_PERCENT * n)
+    kept = ~failed & (covered_chars <= max_covered * word_chars) & (longest <= np.maximum(max_longest, max_longest_share * n))
+    return n, word_chars, symbols, lines, n_covered, failed, kept, longest, covered_chars, n_starts
+
+
 def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, max_longest_share: float = MAX_LONGEST_SHARE) -> DataFrame:
-    """One row for each of docs, without a shuffle: the rules' measures, base_failed and kept.
+    """One row for each of docs, without a shuffle: doc_id, the rules' measures, base_failed and kept.
 
-    doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean),
-    longest_repeat (words), repeat_chars, n_repeats (maximal repeats' starts). kept is false for base_failed, for
-    repeats over max_covered of the characters, and for a longest repeat over its limit. Texts are handled some MB
-    at a time, a longer one by itself. A null or empty text has no words and fails the base rules. Ids may be null
-    or repeated; other columns are ignored.
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean), longest_repeat
+    (words), repeat_chars, n_repeats (maximal repeats' starts). kept is false for base_failed, for repeats over
+    max_covered of the characters, and for a longest repeat over its limit. Texts are handled some MB at a time, a
+    longer one by itself. A null or empty text has no words and fails the base rules. Ids may be null or repeated;
+    an empty table gives no rows; other columns are ignored.
     """
     tune(docs.sparkSession)
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "repeat_chars", "n_repeats"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 1):
-            text = texts(b.column(1))
-            data, bounds = text_bytes(text)
-            word_chars = ranges_sum(_WORD_START[data], bounds)
-            symbols = ranges_sum(_SYMBOL[data], bounds)
-            words, codes, off = chunked(text)
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            n = np.diff(off)
-            covered, longest, starts = repeats(codes, off)
-            n_covered = sums(covered, off)
-            covered_chars = sums(np.where(covered, lengths[codes], 0) if len(codes) else np.zeros(0, np.int64), off)
-            n_starts = np.diff(np.searchsorted(starts, off))
-            lines = np.fromiter(map(duplicate_lines, text.to_pylist()), np.int64, len(text))
-            failed = (n < MIN_WORDS) | (100 * n_covered > MAX_REPEAT_PERCENT * n)
-            kept = ~failed & (covered_chars <= max_covered * word_chars) & (longest <= np.maximum(max_longest, max_longest_share * n))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (n, word_chars, symbols, lines, n_covered, failed, kept, longest, covered_chars, n_starts))], names)
+            found = measured(texts(b.column(1)), max_covered, max_longest, max_longest_share)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found)], ["doc_id", *NAMES])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(measure, f"doc_id {kind}, " + ", ".join(f"{x} {'boolean' if x in ('base_failed', 'kept') else 'long'}" for x in names[1:]))
+    return rows.mapInArrow(measure, f"doc_id {kind}, " + ", ".join(f"{x} {'boolean' if x in ('base_failed', 'kept') else 'long'}" for x in NAMES))
+
+
+def kept_documents(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, max_longest_share: float = MAX_LONGEST_SHARE) -> DataFrame:
+    """The rows of docs, all columns, that quality_rules keeps. docs needs a string column text."""
+    tune(docs.sparkSession)
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, place):
+            kept = measured(texts(b.column(place)), max_covered, max_longest, max_longest_share)[NAMES.index("kept")]
+            yield b.filter(pa.array(kept))
+
+    return docs.mapInArrow(keep, docs.schema)
