@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +22,7 @@ from tidewright.llm.words import chunked, ragged, sums
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks and pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pre-tokens of more bytes are merged by the library.
 LONG = 48
 #: Stands right of a pre-token's last symbol; no merge has it.
@@ -107,6 +108,13 @@ class WordPieces:
         self.whole = self._proven(vocab, end)
         self.forget()
 
+    def over(self, rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a task; when they end, what was remembered for them is forgotten, so that idle workers stay small."""
+        try:
+            yield from rows
+        finally:
+            self.forget()
+
     def _proven(self, vocab: dict[str, int], end: str) -> dict[str, int]:
         """Vocabulary strings that the library, given them alone, encodes as that one token."""
         back = {c: b for b, c in enumerate(self.letters)}

@@ -5,6 +5,7 @@ Null and edge cases of every operator are stated in its own docstring.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -64,20 +65,36 @@ def drop(uri: str) -> None:
         fs.delete_dir(path)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Regroups batches so that the texts in a column come to about `most` bytes; a single longer text stands alone or ends a block."""
+def blocks(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Regroups batches so that the texts in a column come to about `most` bytes; a single longer text stands alone or ends a block.
+
+    At the end of a task, memory that Arrow and the C library keep for later goes back to the system: the worker may
+    be idle for long, beside others.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        size += b.column(column).nbytes
-        if size >= most:
+    try:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.column(column).nbytes
+            if size >= most:
+                yield _joined(held)
+                held, size = [], 0
+        if held:
             yield _joined(held)
-            held, size = [], 0
-    if held:
-        yield _joined(held)
+    finally:
+        held = []
+        trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ BANDS, ROWS = 30, 5
 #: Of 128 sketch bits, pairs at the least similarity differ in 12.8 on average; more than this, by chance below 1e-8, in none.
 MOST_BITS = 34
 #: Text bytes whose darts are thrown at a time.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(tokenizer)
-        for b in blocks(batches, 1):
+        for b in pieces.over(blocks(batches, 1)):
             text = texts(b.column(1))
             _, off = text_bytes(text)
             n = pieces.counts(text)
