@@ -23,6 +23,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks and pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 200_000
+#: Text bytes that are encoded at a time.
+BLOCK = 2 << 20
 #: Pre-tokens of more bytes are merged by the library.
 LONG = 48
 #: Stands right of a pre-token's last symbol; no merge has it.

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidewright.llm.bpe import load
+from tidewright.llm.bpe import BLOCK, load
 from tidewright.llm.common import blocks, texts, tune
 
 #: Context sizes, powers of two.
@@ -153,7 +153,7 @@ def packed(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[in
                 types = (of_id, *[pa.int64()] * 6, pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
-        for b in pieces.over(blocks(batches, 1)):
+        for b in pieces.over(blocks(batches, 1, BLOCK)):
             of_id = b.column(0).type
             ids, off = pieces.encode(texts(b.column(1)), end)
             ids, bounds = ids.astype("<u4"), off.tolist()

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewright.llm.bpe import load
+from tidewright.llm.bpe import BLOCK, load
 from tidewright.llm.common import blocks, text_bytes, texts, tune
 
 #: Tokens over which a text is marked.
@@ -27,7 +27,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(tokenizer)
-        for b in pieces.over(blocks(batches, 1)):
+        for b in pieces.over(blocks(batches, 1, BLOCK)):
             text = texts(b.column(1))
             _, off = text_bytes(text)
             n = pieces.counts(text)

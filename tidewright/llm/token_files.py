@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.bpe import load
+from tidewright.llm.bpe import BLOCK, load
 from tidewright.llm.common import blocks, filesystem, shared_dir, texts, tune, written
 from tidewright.llm.framing import frames, unframed
 
@@ -66,7 +66,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int | N
             out = None
 
         fs.create_dir(root, recursive=True)
-        for b in pieces.over(blocks(batches, 1)):
+        for b in pieces.over(blocks(batches, 1, BLOCK)):
             ids, off = pieces.encode(texts(b.column(1)), end)
             docs_, bounds = b.column(0).to_pylist(), off.tolist()
             records = frames([payload(d, ids[i:j]) for d, i, j in zip(docs_, bounds, bounds[1:], strict=False)])
