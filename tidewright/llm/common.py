@@ -127,14 +127,14 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str, rows: int | None
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small.hint("shuffle_hash") if how == "left_semi" else small, on, how)
 
 
-def join_skewed(big: DataFrame, keyed: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
+def join_skewed(big: DataFrame, keyed: DataFrame, key: str, size: str, total: int, how: str = "left", small: int = BROADCAST_ROWS) -> DataFrame:
     """big joined with keyed (one row a key) where few keys may hold most rows of big.
 
     size names keyed's column with the rows of big per key. Keys with over total / 1000 rows, of which there are
-    fewer than 1000 whatever the data, are broadcast; the rest, none of them large, are shuffled. Without light
-    keys beyond BROADCAST_ROWS everything is broadcast. Rows of big without a partner stay if how is left.
+    fewer than 1000 whatever the data, are broadcast; the rest, none of them large, are shuffled. Up to `small` keys
+    are all broadcast (0: never). Rows of big without a partner stay if how is left.
     """
-    if keyed.count() <= BROADCAST_ROWS:
+    if small and keyed.count() <= small:
         return big.join(F.broadcast(keyed), key, how)
     heavy = keyed.filter(F.col(size) > total / 1000)
     hot = [c for c in keyed.columns if c != key]

@@ -342,7 +342,7 @@ def repeated_spans(docs: DataFrame, folder: str, copies: DataFrame, most_context
     rows = written(base.mapInArrow(sample, "h long, c long, v long, at long"), f"{folder}/anchors")
     often = written(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), f"{folder}/often")
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = written(join_skewed(rows, often, "h", "n", total, "inner").drop("n"), f"{folder}/repeated")
+    rows = written(join_skewed(rows, often, "h", "n", total, "inner", 0).drop("n"), f"{folder}/repeated")
     distinct = written(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("v").alias("v"), F.first("at").alias("at")), f"{folder}/contexts")
     per = distinct.groupBy("h").agg(F.count("*").alias("d"))
     several = written(distinct.join(per.filter("d > 1"), "h"), f"{folder}/several")
@@ -366,7 +366,7 @@ def repeated_spans(docs: DataFrame, folder: str, copies: DataFrame, most_context
     found = written(found, f"{folder}/covers")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     place = F.shiftright("at", 16)
-    spans = join_skewed(rows.select("c", "v", "at"), found, "c", "n", total, "inner").select("v", F.struct((place - F.col("back")).alias("s"), (place + F.col("ahead")).alias("e")).alias("span"))
+    spans = join_skewed(rows.select("c", "v", "at"), found, "c", "n", total, "inner", 0).select("v", F.struct((place - F.col("back")).alias("s"), (place + F.col("ahead")).alias("e")).alias("span"))
     return base, written(spans.groupBy("v").agg(F.collect_set("span").alias("spans")), f"{folder}/spans")
 
 
