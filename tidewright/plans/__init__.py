@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewright.plans import market, text, trades
+from tidewright.plans import decisions, market, text, trades
 from tidewright.plans.catalog import QUERIES, SQL, Query
 
-__all__ = ["all_queries", "all_sql", "market", "text", "trades"]
+__all__ = ["all_queries", "all_sql", "decisions", "market", "text", "trades"]
 
 
 def all_queries() -> dict[str, Query]:
