@@ -117,7 +117,9 @@ def boosted(df: DataFrame, features: list[str], label: str, part: str, rounds: i
 
     rows = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(df.withColumn("__y", F.col(label).cast("double")))
     fit = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=3, seed=42, predictionCol="__q")
-    model = fit.set(fit.probabilityCol, "__p").set(fit.rawPredictionCol, "__r").fit(rows.filter(F.col(part) == "train"))
+    fit.set(fit.probabilityCol, "__p")
+    fit.set(fit.rawPredictionCol, "__r")
+    model = fit.fit(rows.filter(F.col(part) == "train"))
     return model, model.transform(rows).withColumn("p", vector_to_array("__p")[1]).drop("__x", "__y", "__p", "__q", "__r")
 
 
