@@ -129,9 +129,3 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
         for k in range(rows):
             h = mix(h * _C[1] + s[:, :, k])
     return h.astype(np.int64)
-
-
-def bit_sketch(sig: np.ndarray) -> np.ndarray:
-    """One bit of each of the first 128 coordinates, as two 64-bit numbers."""
-    bits = (mix(sig[:, :128]) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)

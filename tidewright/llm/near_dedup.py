@@ -6,24 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import blocks, join_skewed, join_small, shared_dir, texts, tune, written
-from tidewright.llm.dartminhash import all_shingles, band_keys, bit_sketch, shingles, signatures
+from tidewright.llm.dartminhash import all_shingles, band_keys, shingles, signatures
 
 #: Words of a shingle, least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair at the least similarity shares a band but for a chance of (1 - 0.8 ** 5) ** 30, 7 in a million.
 BANDS, ROWS = 30, 5
-#: Of 128 sketch bits, pairs at the least similarity differ in 12.8 on average; more than this, by chance below 1e-8, in none.
-MOST_BITS = 34
 #: Text bytes whose darts are thrown at a time.
 BLOCK = 1 << 20
 
 
 def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id, v (hash of the text), a, b (bit sketch), bands for each of docs. Documents without words have no bands.
+    """doc_id, v (hash of the text), bands for each of docs. Documents without words have no bands.
 
     weighted: shingles weigh as often as they occur; else all weigh 1, and resemblance is that of shingle sets.
     """
@@ -39,13 +37,13 @@ def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 elements, off = all_shingles(texts(block.column(1)), WORDS)
                 times = np.ones(len(elements))
             sig = signatures(elements, times.astype(np.float64), off, BANDS * ROWS)
-            keys, bits = band_keys(sig, BANDS, ROWS), bit_sketch(sig)
+            keys = band_keys(sig, BANDS, ROWS)
             there = np.diff(off) > 0
             ends = np.concatenate([[0], np.cumsum(there * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[there].ravel()))
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(bits[:, 0]), pa.array(bits[:, 1]), bands], ["doc_id", "v", "a", "b", "bands"])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), bands], ["doc_id", "v", "bands"])
 
-    return rows.mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, v long, a long, b long, bands array<long>")
+    return rows.mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, v long, bands array<long>")
 
 
 def shingle_sets(texts_: DataFrame) -> DataFrame:
@@ -92,8 +90,23 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         mark = now
 
 
-def _far(x: str, y: str) -> Column:
-    return F.bit_count(F.col(f"{x}.a").bitwiseXOR(F.col(f"{y}.a"))) + F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b")))
+def prefix_pairs(texts_: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (v, w) of texts of different components that may resemble by `similarity`; it leaves out no pair that does.
+
+    texts_: v, c (component), set. Two sets of sizes n and m that resemble enough share at least
+    o = t / (1 + t) * (n + m) shingles, so, in any fixed order, one of the first n - o + 1 of the one is among the first
+    m - o + 1 of the other. The order is by how many texts have a shingle: the first ones are rare, and what a large
+    group has in common hardly ever makes a pair.
+    """
+    each = texts_.select("v", "c", F.size("set").alias("n"), F.explode("set").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("texts"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("texts", "s")) - 1
+    first = each.join(often, "s").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)).filter("texts > 1").drop("texts")
+    x, y = first.alias("x"), first.alias("y")
+    o = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    near = (F.col("x.place") <= F.col("x.n") - o) & (F.col("y.place") <= F.col("y.n") - o)
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.c") < F.col("y.c")) & near)
+    return pairs.select(F.col("x.v").alias("v"), F.col("y.v").alias("w")).distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
@@ -103,9 +116,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool
     class_id the least doc_id in the class (null if all are null), class_texts its distinct texts. Copies share v, a
     64-bit hash of the text, and enter once. Candidates share one of BANDS bands of a DartMinHash signature:
 
-    1. in each band, every text is compared with the band's least v (pairs grow with the texts, not their squares);
-    2. links found so make components; bands that still hold several of them are resolved in full: their texts of
-       different components whose sketches are near enough are compared, so no link within a band is lost.
+    1. in each band, every text is compared with the one that shares most bands with others (pairs grow with the texts,
+       not their squares);
+    2. links found so make components; texts of bands that still hold several of them are joined by rare shingles
+       (prefix_pairs), which finds every link between different components: no link within a band is lost.
 
     A text without words is the like of its copies only. Nulls count as empty texts. Repeated rows are copies. Other
     columns are ignored. Of the corpus, only counts come to the driver.
@@ -114,13 +128,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool
     folder = shared_dir(spark)
     slim = written(signed(docs, weighted), f"{folder}/signed")
     n_docs = slim.count()
-    verts = written(slim.groupBy("v").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), F.count("*").alias("n")), f"{folder}/texts")
-    banded = verts.select(F.explode("bands").alias("key"), "v", "a", "b")
-    shared = banded.groupBy("key").agg(F.min("v").alias("head"), F.max("v").alias("other"), F.count("*").alias("n")).filter("head <> other").drop("other")
-    shared = written(shared, f"{folder}/bands")
+    verts = written(slim.groupBy("v").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), F.count("*").alias("n")), f"{folder}/texts")
+    banded = verts.select(F.explode("bands").alias("key"), "v")
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), f"{folder}/bands")
     n_rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = written(join_skewed(banded, shared, "key", "n", n_rows, "inner").drop("n"), f"{folder}/members")
-    pairs = members.filter("v <> head").select("v", F.col("head").alias("w")).distinct()
+    members = written(join_skewed(banded, shared, "key", "n", n_rows, "inner"), f"{folder}/shared")
+    known = members.groupBy("v").agg(F.sum("n").alias("known"))
+    heads = join_small(members, known, "v", "inner").groupBy("key").agg(F.max(F.struct("known", "v")).alias("h"), F.count("*").alias("n"))
+    heads = written(heads.select("key", F.col("h.v").alias("head"), "n"), f"{folder}/heads")
+    members = written(join_skewed(members.drop("n"), heads, "key", "n", n_rows, "inner").drop("n"), f"{folder}/members")
+    pairs = members.filter("v <> head").select(F.least("v", "head").alias("v"), F.greatest("v", "head").alias("w")).distinct()
     some = members.select("v").distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     of_some = join_small(docs.select(F.xxhash64(text).alias("v"), text.alias("text")), some, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text"))
@@ -130,11 +147,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool
     # what the comparisons with the heads left apart within a band
     labelled = join_small(members, found, "v", "left").withColumn("c", F.coalesce("c", "v"))
     apart = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key")
-    labelled = written(join_small(labelled, apart, "key", "left_semi"), f"{folder}/apart")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.v") != F.col("y.head")) & (F.col("y.v") != F.col("x.head")) & (_far("x", "y") <= MOST_BITS))
-    cross = cross.select(F.col("x.v").alias("v"), F.col("y.v").alias("w")).distinct()
-    more = written(linked(cross, sets, similarity), f"{folder}/links2")
+    apart = written(join_small(labelled, apart, "key", "left_semi").select("v", "c").distinct(), f"{folder}/apart")
+    more = written(linked(prefix_pairs(sets.join(apart, "v"), similarity), sets, similarity), f"{folder}/links2")
     if more.head(1):
         found = written(components(found.filter("v <> c").select("v", F.col("c").alias("w")).union(more), f"{folder}/second"), f"{folder}/found2")
     # a class has several texts or a text several rows; all others are their own
