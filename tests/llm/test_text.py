@@ -44,6 +44,8 @@ def test_added_spans_and_masks(spark):
     assert masked[5] == ("😀 mail [EMAIL] now", 18)
     assert masked[3] == ("not 123-45-6789", 15)
     assert masked[4] == (None, None)
+    clash = pii.pii_masked(df.withColumnRenamed("n_chars", "spans_email"))
+    assert {r["spans_email"] for r in clash.collect()} == {5}
     assert pii.pii_report(df.limit(0)).collect() == []
 
 
@@ -64,7 +66,10 @@ def test_mix_of_awkward_rows(spark, sf_dir):
     assert abs(sum(target.values()) - 1.5 * sum(r["size"] for r in rows)) < 1e-6
     assert {str(r) for r in rows} == {str(r) for r in mixing.mixed(df.repartition(3)).collect()}
     assert mixing.mixed(df.limit(0)).collect() == []
-    assert mixing.mixed_documents(df).columns == df.columns
+    out = mixing.mixed_documents(df.withColumnsRenamed({"lang": "copies", "label": "target"}))
+    assert out.schema["key"].dataType.simpleString() == "string"
+    assert {r["key"] for r in out.collect()} == {"k"}
+    assert {r["copies"] for r in out.collect()} == {"en"}
 
 
 def test_fingerprints(spark, sf_dir):

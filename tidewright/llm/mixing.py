@@ -71,10 +71,11 @@ def thresholds(slim: DataFrame, folder: str, weights: tuple[int, ...] = WEIGHTS,
     return written(per.select(F.struct("source").alias("key"), "source_size", "target", "copies", "cut", "each"), f"{folder}/thresholds")
 
 
-def _taken(hash_: str, size: str) -> tuple:
-    """(whole copies, words of a further, cut copy) of a row joined with its source's thresholds."""
-    whole = F.col("copies") + F.when(F.col(hash_) < F.col("cut"), 1).otherwise(0)
-    return whole.cast("long"), F.when(F.col(hash_) == F.col("cut"), F.least(size, "each")).otherwise(0).cast("long")
+def _taken(prefix: str = "") -> tuple:
+    """(whole copies, words of a further, cut copy) of a row with size and hash, joined with its source's thresholds."""
+    size, hash_, copies, cut, each = (F.col(prefix + c) for c in ("size", "hash", "copies", "cut", "each"))
+    whole = copies + F.when(hash_ < cut, 1).otherwise(0)
+    return whole.cast("long"), F.when(hash_ == cut, F.least(size, each)).otherwise(0).cast("long")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -93,7 +94,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     slim = written(sized(docs), f"{folder}/sizes")
     at = thresholds(slim, folder, weights, share, most)
     out = join_small(slim.withColumn("key", F.struct("source")), at, "key", "left")
-    whole, extra = _taken("hash", "size")
+    whole, extra = _taken()
     out = out.withColumn("whole", whole).withColumn("extra_words", extra)
     return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra_words")).alias("taken"), F.col("whole").alias("copies"), "extra_words", "source")
 
@@ -106,10 +107,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     folder = shared_dir(docs.sparkSession)
     slim = written(sized(docs), f"{folder}/sizes")
     at = thresholds(slim, folder, weights, share, most)
-    out = docs.withColumn("key", F.struct(docs["source"].cast("string").alias("source"))).withColumn("__size", F.expr(_SIZE)).withColumn("__hash", F.expr(_HASH))
-    whole, extra = _taken("__hash", "__size")
-    out = join_small(out, at, "key", "inner").withColumn("__n", (whole + F.when((extra > 0) & (2 * extra >= F.col("__size")), 1).otherwise(0)).cast("int"))
-    return out.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    own = "__mix_"  # columns of docs may have any other name
+    at = at.select(*[F.col(c).alias(own + c) for c in at.columns])
+    out = docs.withColumns({f"{own}key": F.struct(docs["source"].cast("string").alias("source")), f"{own}size": F.expr(_SIZE), f"{own}hash": F.expr(_HASH)})
+    whole, extra = _taken(own)
+    n = whole + F.when((extra > 0) & (2 * extra >= F.col(f"{own}size")), 1).otherwise(0)
+    out = join_small(out, at, f"{own}key", "inner").withColumn(f"{own}n", n.cast("int")).filter(f"{own}n > 0")
+    return out.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}n")))).select(*docs.columns)
 
 
 #: What mixed() returns, by sorting: for DuckDB.

@@ -149,7 +149,8 @@ def pii_masked(docs: DataFrame, kinds: tuple[str, ...] = (*BASE, "iban", "ssn"))
 
     Spans that overlap are replaced as one, by the name of the one that starts first (the longer one at a tie).
     """
-    out = pii_spans(docs)
+    # columns of docs may have the names that are used here
+    out = pii_spans(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c != "text"}))
 
     def marks(k: str) -> Column:
         return F.transform(f"spans_{k}", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(f"[{k.upper()}]").alias("mark")))
@@ -162,5 +163,5 @@ def pii_masked(docs: DataFrame, kinds: tuple[str, ...] = (*BASE, "iban", "ssn"))
     text = F.aggregate("__all", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     out = out.withColumn("text", F.when(F.size("__all") > 0, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("__own_n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(c if c == "text" else f"__own_{c}").alias(c) for c in docs.columns])
