@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tidewright.operators.folds import fold
 
-BY = Window.partitionBy("symbol").orderBy("open_time")
+
+def by() -> WindowSpec:
+    """A symbol's bars in order of time."""
+    return Window.partitionBy("symbol").orderBy("open_time")
 
 
 def over(n: int, shift: int = 0) -> WindowSpec:
     """The last n rows of a symbol, ending `shift` rows before the current one."""
-    return BY.rowsBetween(-(n - 1) - shift, -shift)
+    return by().rowsBetween(-(n - 1) - shift, -shift)
 
 
 def full(value: Column, n: int, shift: int = 0) -> Column:
@@ -25,7 +28,7 @@ def sma(column: str, n: int) -> Column:
 
 
 def true_range() -> Column:
-    prev = F.lag("close").over(BY)
+    prev = F.lag("close").over(by())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
@@ -36,7 +39,7 @@ def channel(n: int) -> tuple[Column, Column]:
 
 def with_moves(df: DataFrame) -> DataFrame:
     """Adds move, gain and loss of the close against the bar before."""
-    move = F.col("close") - F.lag("close").over(BY)
+    move = F.col("close") - F.lag("close").over(by())
     return df.withColumn("move", move).withColumn("gain", F.greatest("move", F.lit(0.0))).withColumn("loss", F.greatest(-F.col("move"), F.lit(0.0)))
 
 

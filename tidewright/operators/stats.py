@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Euler's constant.
 GAMMA = 0.5772156649015329
@@ -57,7 +58,7 @@ def holm(df: DataFrame, p: str, tie: str) -> DataFrame:
     return df.withColumn("__a", (m - F.row_number().over(w) + 1) * F.col(p)).withColumn("holm", F.least(F.lit(1.0), F.max("__a").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("__a")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)) if v == v else None)
 

@@ -250,7 +250,7 @@ def donchian(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rolling_vol", f"""WITH b AS ({BARS}), r AS (SELECT symbol, open_time, ln(close / lag(close) OVER ({_W})) AS ret FROM b)
 SELECT symbol, open_time, round(CASE WHEN count(ret) OVER w >= 24 THEN stddev_samp(ret) OVER w END, 6) AS vol FROM r WINDOW w AS ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
 def rolling_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = hourly(spark, sf_dir).withColumn("ret", F.ln(F.col("close") / F.lag("close").over(indicators.BY)))
+    r = hourly(spark, sf_dir).withColumn("ret", F.ln(F.col("close") / F.lag("close").over(indicators.by())))
     w = indicators.over(24)
     return r.select("symbol", "open_time", F.round(F.when(F.count("ret").over(w) >= 24, F.stddev_samp("ret").over(w)), 6).alias("vol"))
 
