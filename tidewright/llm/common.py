@@ -65,7 +65,7 @@ def drop(uri: str) -> None:
         fs.delete_dir(path)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Regroups batches so that the texts in a column come to about `most` bytes; a single longer text stands alone or ends a block.
 
     At the end of a task, memory that Arrow and the C library keep for later goes back to the system: the worker may

@@ -17,7 +17,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair at the least similarity shares a band but for a chance of (1 - 0.8 ** 5) ** 30, 7 in a million.
 BANDS, ROWS = 30, 5
 #: Text bytes whose darts are thrown at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:

@@ -49,11 +49,12 @@ def repeated_grams(codes: np.ndarray, owner: np.ndarray, ends: np.ndarray, least
             h = h * np.uint64(0xD1342543DE82EF95) + codes[k : k + m].astype(np.uint64) + np.uint64(1)
     at = np.flatnonzero(np.arange(m) + least <= ends[:m])
     h = mix(h[at])
-    slots = (h >> np.uint64(42)).astype(np.int64)
+    bits = max(12, len(h).bit_length() + 1)
+    slots = (h >> np.uint64(64 - bits)).astype(np.int64)
     # a slot with one position cannot hold a repeat; what is left is compared by its whole hash
-    last = np.zeros(1 << 22, np.int32)
+    last = np.zeros(1 << bits, np.int32)
     last[slots] = np.arange(len(slots), dtype=np.int32)
-    shared = np.zeros(1 << 22, bool)
+    shared = np.zeros(1 << bits, bool)
     shared[slots[last[slots] != np.arange(len(slots))]] = True
     some = np.flatnonzero(shared[slots])
     order = some[np.argsort(h[some], kind="stable")]
