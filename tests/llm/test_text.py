@@ -36,6 +36,16 @@ def test_base_spans_equal_plain_patterns(spark, sf_dir):
     assert sorted(map(str, want)) == sorted(str(tuple(r)[:6]) for r in got)
 
 
+def test_cards_of_single_digits(spark):
+    texts = [sep.join("4111111111111111") for sep in " -"] + ["pay 4 1-1 1-1 1-1 1-1 1-1 1-1 1-1 1 now", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_card"], r["spans"], r["base_sha256"]) for r in pii.pii_report(df).collect()}
+    for d, t in enumerate(texts):
+        spans = ",".join(f"card:{m.start()}:{m.end()}" for m in re.finditer(PLAIN["card"], t) if good("card", m[0]))
+        assert got[d] == (int(d < 3), spans, hashlib.sha256(spans.encode()).hexdigest())
+    assert {r["doc_id"]: r["text"] for r in pii.pii_masked(df).collect()} == {0: "[CARD]", 1: "[CARD]", 2: "pay [CARD] now", 3: texts[3]}
+
+
 def test_added_spans_and_masks(spark):
     df = spark.createDataFrame([(1, "iban DE89 3704 0044 0532 0130 00 or DE89370400440532013001", 5), (2, "my ssn 123-45-6789", 5), (3, "not 123-45-6789", 5), (4, None, 5), (5, "😀 mail a@b.cd now", 5)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r["spans"] for r in pii.pii_report(df).collect()}

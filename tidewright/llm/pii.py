@@ -28,6 +28,9 @@ CONTEXT = {
 SCORES = {"email": 0.8, "ip": 0.6, "card": 0.9, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 CONTEXT_SCORE, LEAST_SCORE, CONTEXT_CHARS = 0.35, 0.5, 40
 
+#: What a text with a match of the kind's pattern has somewhere, and is found faster.
+GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": "[0-9]{2}", "ssn": "[0-9]{2}"}
+
 _IP_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})?"
 
 
@@ -120,7 +123,7 @@ def pii_spans(docs: DataFrame, extra: tuple[str, ...] = ("iban", "ssn")) -> Data
     """
     out = docs.withColumn("__t", F.coalesce(docs["text"].cast("string"), F.lit("")))
     kinds = (*BASE, *extra)
-    found = {k: F.when(F.col("__t").rlike({"email": "@", "phone": r"\+[0-9]"}.get(k, "[0-9]{2}" if k != "ip" else r"[0-9]\.[0-9]")), F.regexp_extract_all("__t", F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in kinds}
+    found = {k: F.when(F.col("__t").rlike(GATES[k]), F.regexp_extract_all("__t", F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in kinds}
     out = out.withColumns({f"__m_{k}": c for k, c in found.items()})
     none = F.array().cast("array<string>")
     out = out.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.slice(F.split("__t", PATTERNS[k], -1), F.lit(1), F.size(f"__m_{k}"))).otherwise(none) for k in kinds})
