@@ -142,6 +142,26 @@ def test_quality_measures(spark, sf_dir):
     assert quality_rules.quality_rules(df.limit(0)).collect() == []
 
 
+def test_quality_limits_bind_by_themselves(spark):
+    def plain(n: int, tag: str) -> str:
+        return " ".join(f"{tag}{k:05d}" for k in range(n))
+
+    def twice(n: int, passage: str) -> str:
+        return f"{plain(n // 2, 'a')} {passage} {plain(n // 2, 'b')} {passage} {plain(9, 'c')}"
+
+    many = " ".join(f"{p} x{k} {p} y{k}" for k, p in enumerate(plain(8, f"p{k}") for k in range(20)))
+    texts = {
+        "long": twice(1700, plain(150, "p")), "longer": twice(16_000, plain(1900, "p")), "above": twice(1700, plain(51, "p")), "covered": f"{plain(1500, 'a')} {many}",
+        "clean": plain(2000, "a"), "below": twice(1700, plain(50, "p")), "line": twice(120, plain(13, "p")), "some": f"{plain(2500, 'a')} {many}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert got["covered"]["longest_repeat"] < 10
+    assert {d for d, r in got.items() if r["kept"]} == {"clean", "below", "line", "some"}
+    assert {r["doc_id"] for r in quality_rules.kept_documents(df).collect()} == {"clean", "below", "line", "some"}
+
+
 @pytest.fixture
 def pages(spark):
     big = "<p>" + "Wort é " * 400

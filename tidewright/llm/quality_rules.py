@@ -16,10 +16,12 @@ LEAST = 5
 # The base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: Of a document that is kept, maximal repeats cover at most this share of the words' characters ...
-MAX_COVERED = 0.25
-#: ... and the longest has at most so many words, or that share of all words if this is more.
-MAX_LONGEST, MAX_LONGEST_SHARE = 50, 0.1
+#: Of a document that is kept, maximal repeats cover at most this share of the words' characters, ...
+MAX_COVERED = 0.15
+#: ... or that share if they are at most so many characters (a line that a short text has twice), ...
+MAX_COVERED_SHORT, SHORT_CHARS = 0.25, 200
+#: ... and the longest has at most so many words, however long the document is.
+MAX_LONGEST = 50
 
 _WHITE = " \t\n\r\x0b\x0c"
 _WORD_START = np.zeros(256, np.uint8)
@@ -186,7 +188,7 @@ def duplicate_lines(text: str) -> int:
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "repeat_chars", "n_repeats")
 
 
-def measured(text: pa.Array, max_covered: float, max_longest: int, max_longest_share: float) -> tuple[np.ndarray, ...]:
+def measured(text: pa.Array, max_covered: float, max_longest: int) -> tuple[np.ndarray, ...]:
     """The measures of NAMES for some texts (no nulls)."""
     data, bounds = text_bytes(text)
     word_chars = ranges_sum(_WORD_START[data], bounds)
@@ -200,16 +202,18 @@ def measured(text: pa.Array, max_covered: float, max_longest: int, max_longest_s
     n_starts = np.diff(np.searchsorted(starts, off))
     lines = np.fromiter(map(duplicate_lines, text.to_pylist()), np.int64, len(text))
     failed = (n < MIN_WORDS) | (100 * n_covered > MAX_REPEAT_PERCENT * n)
-    kept = ~failed & (covered_chars <= max_covered * word_chars) & (longest <= np.maximum(max_longest, max_longest_share * n))
+    share = np.where(covered_chars > SHORT_CHARS, max_covered, max(max_covered, MAX_COVERED_SHORT))
+    kept = ~failed & (covered_chars <= share * word_chars) & (longest <= max_longest)
     return n, word_chars, symbols, lines, n_covered, failed, kept, longest, covered_chars, n_starts
 
 
-def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, max_longest_share: float = MAX_LONGEST_SHARE) -> DataFrame:
+def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """One row for each of docs, without a shuffle: doc_id, the rules' measures, base_failed and kept.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean), longest_repeat
     (words), repeat_chars, n_repeats (maximal repeats' starts). kept is false for base_failed, for repeats over
-    max_covered of the characters, and for a longest repeat over its limit. Texts are handled some MB at a time, a
+    max_covered of the characters (MAX_COVERED_SHORT up to SHORT_CHARS characters of repeats), and for a longest repeat
+    of over max_longest words; both limits reach documents that the base rules pass. Texts are handled some MB at a time, a
     longer one by itself. A null or empty text has no words and fails the base rules. Ids may be null or repeated;
     an empty table gives no rows; other columns are ignored.
     """
@@ -218,21 +222,21 @@ def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 1):
-            found = measured(texts(b.column(1)), max_covered, max_longest, max_longest_share)
+            found = measured(texts(b.column(1)), max_covered, max_longest)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found)], ["doc_id", *NAMES])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(measure, f"doc_id {kind}, " + ", ".join(f"{x} {'boolean' if x in ('base_failed', 'kept') else 'long'}" for x in NAMES))
 
 
-def kept_documents(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, max_longest_share: float = MAX_LONGEST_SHARE) -> DataFrame:
+def kept_documents(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The rows of docs, all columns, that quality_rules keeps. docs needs a string column text."""
     tune(docs.sparkSession)
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, place):
-            kept = measured(texts(b.column(place)), max_covered, max_longest, max_longest_share)[NAMES.index("kept")]
+            kept = measured(texts(b.column(place)), max_covered, max_longest)[NAMES.index("kept")]
             yield b.filter(pa.array(kept))
 
     return docs.mapInArrow(keep, docs.schema)
