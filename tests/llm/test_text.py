@@ -46,6 +46,25 @@ def test_cards_of_single_digits(spark):
     assert {r["doc_id"]: r["text"] for r in pii.pii_masked(df).collect()} == {0: "[CARD]", 1: "[CARD]", 2: "pay [CARD] now", 3: texts[3]}
 
 
+def test_context_by_position_and_lists(spark):
+    cases = [
+        ("SSN: 123-45-6789, 234-56-7890, 345-67-8901", 3), ("123-45-6789 (SSN)", 1), ("ssn 000-12-3456 or 123-45-6789", 1), ("SSN " + "\n".join(["123-45-6789"] * 3000), 3000),
+        ("123-45-6789; 234-56-7890 and 345-67-8901 " * 2 + "are social security numbers", 6), ("123-45-6789, 234-56-7890", 0), ("ssn 123-45-6789 " + "x" * 40 + " 234-56-7890", 1), ("123-45-6789, 234-56-7890 " + "x" * 50 + " ssn 123-45-6789 / 234-56-7890 " + "x" * 50 + " 345-67-8901", 2),
+        ("ssn" + "." * 37 + "123-45-6789", 1), ("ssn" + "." * 38 + "123-45-6789", 0), ("xssn" + "." * 37 + "123-45-6789", 0), ("123-45-6789" + "." * 37 + "ssn", 1), ("123-45-6789" + "." * 38 + "ssn", 0), ("123-45-6789 xssn", 0), ("", 0), ("no number", 0), ("😀 ssn 😀 123-45-6789", 1),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans_ssn"] for r in pii.pii_spans(df).collect()}
+    for k, (t, n) in enumerate(cases):
+        assert (k, len(got[k])) == (k, n)
+        assert all(re.fullmatch(r"\d{3}-\d\d-\d{4}", t[x["start"] : x["end"]]) for x in got[k])
+    masked = {r["doc_id"]: r["text"] for r in pii.pii_masked(df).collect()}
+    assert masked[0] == "SSN: [SSN], [SSN], [SSN]"
+    assert masked[2] == "ssn 000-12-3456 or [SSN]"
+    assert masked[5] == cases[5][0]
+    card = pii.pii_spans(spark.createDataFrame([("card 12 34 or 4111 1111 1111 1111, 22 and 4111111111111111 visa",), ("4111111111111111, " + "12 x " * 8 + "card",), ("4111111111111111, " + "12 x " * 6 + "card",)], "text string")).collect()
+    assert [[round(x["score"], 2) for x in r["spans_card"]] for r in card] == [[1.25, 1.25], [0.9], [1.25]]
+
+
 def test_added_spans_and_masks(spark):
     df = spark.createDataFrame([(1, "iban DE89 3704 0044 0532 0130 00 or DE89370400440532013001", 5), (2, "my ssn 123-45-6789", 5), (3, "not 123-45-6789", 5), (4, None, 5), (5, "😀 mail a@b.cd now", 5)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r["spans"] for r in pii.pii_report(df).collect()}

@@ -16,7 +16,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
-#: Words before a span that speak for its kind, and the score that each kind's pattern, check and context give.
+#: Words near a span that speak for its kind, and the score that each kind's pattern, check and context give.
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": "ip|host|server|address",
@@ -31,6 +31,12 @@ CONTEXT_SCORE, LEAST_SCORE, CONTEXT_CHARS = 0.35, 0.5, 40
 #: What a text with a match of the kind's pattern has somewhere, and is found faster.
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": "[0-9]{2}", "ssn": "[0-9]{2}"}
 
+#: What may stand between the numbers of a list, whose cue counts for all of them: no letter or digit, or a joining word.
+_JOIN = r"(?:[^\p{L}\p{N}]|(?<![\p{L}\p{N}])(?:and|or|und|oder|et|ou|y|o)(?![\p{L}\p{N}]))++"
+LISTS = {"ssn": rf"{PATTERNS['ssn']}(?:{_JOIN}{PATTERNS['ssn']})*+"}
+#: Matches that reach CONTEXT_CHARS code points: none has under two.
+_REACH = CONTEXT_CHARS // 2 + 1
+
 _IP_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})?"
 
 
@@ -71,7 +77,7 @@ def _with_starts(out: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """
     add = lambda a, x: a + x
     none = F.array().cast("array<int>")
-    out = out.withColumns({f"__l_{k}": F.zip_with(f"__g_{k}", f"__m_{k}", lambda g, m: F.length(g) + F.length(m)) for k in kinds})
+    out = out.withColumns({f"__l_{k}": F.zip_with(F.slice(f"__g_{k}", F.lit(1), F.size(f"__m_{k}")), f"__m_{k}", lambda g, m: F.length(g) + F.length(m)) for k in kinds})
     out = out.withColumns({f"__w_{k}": F.ceil(F.sqrt(F.size(f"__l_{k}"))).cast("int") for k in kinds})
 
     def in_blocks(k: str) -> Column:
@@ -97,16 +103,65 @@ def _with_starts(out: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return out.withColumns({f"__s_{k}": starts(k) for k in kinds}).drop(*[f"__{p}_{k}" for p in "lwbp" for k in kinds])
 
 
+def _windows(out: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Adds __b_<kind> and __a_<kind>: of each match and the text between it and the one before (after) it, the end
+    (beginning) that can be in the window of a later (earlier) match. Windows are then joined from few short pieces,
+    so that no text is gone through again for each match."""
+    none = F.array().cast("array<string>")
+
+    def before(k: str) -> Column:
+        pieces = F.zip_with(F.slice(f"__g_{k}", F.lit(1), F.size(f"__m_{k}")), f"__m_{k}", lambda g, m: F.right(F.concat(g, m), F.lit(CONTEXT_CHARS + 1)))
+        return F.when(F.size(f"__m_{k}") > 0, pieces).otherwise(none)
+
+    def after(k: str) -> Column:
+        pieces = F.zip_with(f"__m_{k}", F.slice(f"__g_{k}", F.lit(2), F.size(f"__m_{k}")), lambda m, g: F.left(F.concat(m, g), F.lit(CONTEXT_CHARS)))
+        return F.when(F.size(f"__m_{k}") > 0, pieces).otherwise(none)
+
+    return out.withColumns({f"__b_{k}": before(k) for k in kinds} | {f"__a_{k}": after(k) for k in kinds})
+
+
+def _near(kind: str, i: Column) -> Column:
+    """Whether a context word stands near match i (from 0): begins in the CONTEXT_CHARS code points before it, or is within those after it."""
+    g, b, a = (F.col(f"__{p}_{kind}") for p in "gba")
+    first = F.greatest(i - _REACH, F.lit(0))
+    # one code point more, or a blank at the text's start, shows whether a word begins
+    ahead = F.right(F.concat(F.lit(" "), F.array_join(F.slice(b, first + 1, i - first), ""), F.right(F.element_at(g, i + 1), F.lit(CONTEXT_CHARS + 1))), F.lit(CONTEXT_CHARS + 1))
+    behind = F.left(F.concat(F.left(F.element_at(g, i + 2), F.lit(CONTEXT_CHARS)), F.array_join(F.slice(a, i + 2, F.lit(_REACH)), "")), F.lit(CONTEXT_CHARS))
+    return F.lower(ahead).rlike(f"(?s)[^a-z](?:{CONTEXT[kind]})") | F.lower(behind).rlike(f"(?<![a-z])(?:{CONTEXT[kind]})")
+
+
+def _with_lists(out: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Adds __n_<kind>: for each match whether a context word is near it or, of the kinds of LISTS, near any of its list."""
+    none, no_list = F.array().cast("array<boolean>"), F.array().cast("array<int>")
+
+    def near(k: str) -> Column:
+        # what fails its check has no span, but can bring a cue to its list
+        counts = lambda i: F.lit(True) if k in LISTS else _confirmed(k, F.element_at(f"__m_{k}", i + 1))
+        return F.when(F.size(f"__m_{k}") > 0, F.transform(F.sequence(F.lit(0), F.size(f"__m_{k}") - 1), lambda i: F.when(counts(i), _near(k, i)).otherwise(False))).otherwise(none)
+
+    out = out.withColumns({f"__n_{k}": near(k) for k in kinds})
+    for k in (k for k in kinds if k in LISTS):
+        some, pattern = F.size(f"__m_{k}") > 1, F.lit(PATTERNS[k])
+        # lists are made of whole matches, in order: matches by list, then the number of the list by match, then each list's first match
+        sizes = F.transform(F.regexp_extract_all("__t", F.lit(LISTS[k]), F.lit(0)), lambda x: F.size(F.regexp_extract_all(x, pattern, F.lit(0))))  # noqa: B023
+        out = out.withColumn("__sizes", F.when(some, sizes).otherwise(no_list))
+        out = out.withColumn("__lists", F.when(some, F.flatten(F.transform("__sizes", lambda c, j: F.array_repeat(j, c)))).otherwise(no_list))
+        begins = F.filter(F.sequence(F.lit(0), F.size("__lists") - 1), lambda i: (i == 0) | (F.element_at("__lists", i + 1) != F.element_at("__lists", F.greatest(i, F.lit(1)))))
+        out = out.withColumn("__begins", F.when(some, begins).otherwise(no_list))
+        cued = F.zip_with("__begins", "__sizes", lambda i, c: F.array_repeat(F.exists(F.slice(F.col(f"__n_{k}"), i + 1, c), lambda n: n), c))  # noqa: B023
+        out = out.withColumn(f"__n_{k}", F.when(some, F.flatten(cued)).otherwise(F.col(f"__n_{k}"))).drop("__sizes", "__lists", "__begins")
+    return out
+
+
 def _spans(kind: str) -> Column:
-    """The kind's (start, end, score), from the columns of its matches, starts and gaps."""
-    s, m, g = (f"__{p}_{kind}" for p in "smg")
+    """The kind's (start, end, score), from the columns of its matches, starts and context."""
+    s, m, n = (f"__{p}_{kind}" for p in "smn")
 
     def span(x: Column) -> Column:
-        near = F.lower(F.right(x[g], F.lit(CONTEXT_CHARS))).rlike(f"(?<![a-z])(?:{CONTEXT[kind]})")
-        score = F.lit(SCORES[kind]) + F.when(near, CONTEXT_SCORE).otherwise(0.0)
+        score = F.lit(SCORES[kind]) + F.when(x[n], CONTEXT_SCORE).otherwise(0.0)
         return F.struct(x[s].alias("start"), (x[s] + F.length(x[m])).alias("end"), score.alias("score"))
 
-    spans = F.transform(F.filter(F.arrays_zip(s, m, g), lambda x: _confirmed(kind, x[m])), span)
+    spans = F.transform(F.filter(F.arrays_zip(s, m, n), lambda x: _confirmed(kind, x[m])), span)
     if kind not in BASE:
         spans = F.filter(spans, lambda x: x["score"] >= LEAST_SCORE)
     return F.when(F.size(m) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,score:double>>"))
@@ -117,19 +172,20 @@ def pii_spans(docs: DataFrame, extra: tuple[str, ...] = ("iban", "ssn")) -> Data
 
     Leftmost non-overlapping matches of each kind's pattern, without those that fail its check (checks: address
     parts at most 255, Luhn and 16 to 19 digits, 8 to 15 digits, mod 97, never-issued number ranges). The score is
-    the kind's own plus CONTEXT_SCORE where a context word stands in the CONTEXT_CHARS code points before the span
-    (after the match before it); spans of the base kinds stay whatever their score, others from LEAST_SCORE on. A
-    null text has no spans. Columns of docs stay; a column text is needed.
+    the kind's own plus CONTEXT_SCORE where a context word stands in the CONTEXT_CHARS code points before or after the
+    span, whatever other matches are there, or near any number of the same list (kinds of LISTS); spans of the base
+    kinds stay whatever their score, others from LEAST_SCORE on. A null text has no spans. Columns of docs stay; a
+    column text is needed.
     """
     out = docs.withColumn("__t", F.coalesce(docs["text"].cast("string"), F.lit("")))
     kinds = (*BASE, *extra)
     found = {k: F.when(F.col("__t").rlike(GATES[k]), F.regexp_extract_all("__t", F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in kinds}
     out = out.withColumns({f"__m_{k}": c for k, c in found.items()})
     none = F.array().cast("array<string>")
-    out = out.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.slice(F.split("__t", PATTERNS[k], -1), F.lit(1), F.size(f"__m_{k}"))).otherwise(none) for k in kinds})
-    out = _with_starts(out, kinds)
+    out = out.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split("__t", PATTERNS[k], -1)).otherwise(none) for k in kinds})
+    out = _with_lists(_windows(_with_starts(out, kinds), kinds), kinds)
     out = out.withColumns({f"spans_{k}": _spans(k) for k in kinds})
-    return out.drop("__t", *[f"__{p}_{k}" for p in "mgs" for k in kinds])
+    return out.drop("__t", *[f"__{p}_{k}" for p in "mgsban" for k in kinds])
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
