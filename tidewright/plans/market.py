@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import market
 from tidewright.operators import bars as b
 from tidewright.operators import folds, indicators, joins, paths, quality
-from tidewright.plans.catalog import query
+from tidewright.plans.catalog import Query, query
 from tidewright.sources.tables import table, ticks
 
 TICKS = "SELECT event_type AS symbol, ts, event_id AS seq, value AS price, user_id AS writer, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS points FROM events"
@@ -188,13 +188,22 @@ def forward_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "later_id", F.round(F.col("open_age") / 3600, 6).alias("open_hours"), market.outcome(F.col("later") - F.col("value"), F.lit(10.0)).alias("outcome"))
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twelfth bar's close as a decision, long or short in turn, with levels at fixed shares."""
-    h = hourly(spark, sf_dir).filter("hour(open_time) % 12 = 0").withColumn("direction", F.when(F.hour("open_time") == 0, "long").otherwise("short"))
+def _levels(h: DataFrame) -> DataFrame:
+    """Bars with a direction as decisions at the close, with levels at fixed distances."""
     s = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
     return h.select(F.concat_ws("|", "symbol", F.date_format("open_time", "yyyy-MM-dd HH")).alias("decision_id"), "symbol", F.col("close_time").alias("ts"), "direction", F.col("close").alias("entry"), (F.col("close") - s * 20).alias("stop"), (F.col("close") + s * 20).alias("target1"), (F.col("close") + s * 40).alias("target2"))
 
 
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twelfth bar's close as a decision, long or short in turn, with levels at fixed shares."""
+    return _levels(hourly(spark, sf_dir).filter("hour(open_time) % 12 = 0").withColumn("direction", F.when(F.hour("open_time") == 0, "long").otherwise("short")))
+
+
+def all_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar's close as a decision, long in even and short in odd hours."""
+    return _levels(hourly(spark, sf_dir).withColumn("direction", F.when(F.hour("open_time") % 2 == 0, "long").otherwise("short")))
+
+
 _PATH = f"""
 WITH b AS ({BARS}), d AS (SELECT symbol || '|' || strftime(open_time, '%Y-%m-%d %H') AS decision_id, symbol, close_time AS ts, CASE WHEN hour(open_time) = 0 THEN 1.0 ELSE -1.0 END AS s, close AS entry FROM b WHERE hour(open_time) % 12 = 0),
 p AS (SELECT d.*, b.close_time AS pt, b.high, b.low, b.close, {_OH.format('b.close_time')} - {_OH.format('d.ts')} AS age FROM d JOIN b USING (symbol)),
@@ -208,9 +217,9 @@ r AS (SELECT decision_id, symbol, s, points, first_touch, touched_at, mfe_r, mae
 """
 
 
-def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def touches(spark: SparkSession, sf_dir: str, made: Query = decisions) -> DataFrame:
     h = hourly(spark, sf_dir).select("symbol", F.col("close_time").alias("at"), "high", "low", "close")
-    return paths.first_touch(paths.paths(decisions(spark, sf_dir), h, 24))
+    return paths.first_touch(paths.paths(made(spark, sf_dir), h, 24))
 
 
 @query("first_touch", _PATH + "SELECT decision_id, points, first_touch, touched_at, mfe_r, mae_r, realized_r FROM r")
@@ -226,6 +235,17 @@ def expectancy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.expectancy(touches(spark, sf_dir).join(d, "decision_id"), ["symbol", "direction"])
 
 
+@query("first_touch_all")
+def first_touch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return touches(spark, sf_dir, all_decisions)
+
+
+@query("expectancy_cells_all")
+def expectancy_cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = all_decisions(spark, sf_dir).select("decision_id", "symbol", "direction")
+    return paths.expectancy(touches(spark, sf_dir, all_decisions).join(d, "decision_id"), ["symbol", "direction"])
+
+
 _W = "PARTITION BY symbol ORDER BY open_time"
 
 
