@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -8,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, rows_of
 from tidewright.llm import bpe, framing, packing, token_counts, token_files
@@ -65,7 +67,9 @@ def test_checksums_of_the_format():
 
 def test_files_round_trip(spark, sf_dir, pieces):
     df = documents(spark, sf_dir, 60)
-    rows = sorted(rows_of(df), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    tie = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]], r[1] is not None, r[1] or ""))
+    rows = [(d, t or "") for d, t in rows]
     at, want = 0, []
     for (d, _), i in zip(rows, ids_of(pieces, [t for _, t in rows]), strict=True):
         i = [*i, 1]
@@ -77,6 +81,7 @@ def test_files_round_trip(spark, sf_dir, pieces):
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(manifest, folder).collect())
     assert sorted((s, n, c) for _, s, n, c in want) == [(s, n, c) for s, _, n, c in got]
     assert sorted(map(str, [(s, d) for d, s, _, _ in want])) == sorted(map(str, [(s, d) for s, d, _, _ in got]))
+    assert token_files.write_token_files(df.select(F.lit(None).cast("long").alias("doc_id"), "text"), word_tokenizer(), shared_dir(spark), partitions=4).select("part").distinct().count() > 2
     m = manifest.orderBy("part", "shard").first()
     last, first = token_files.read_records(folder, m["path"], m["index_path"], [m["n_records"] - 1, 0])
     assert len(first[1]) == want[0][2]
@@ -87,28 +92,105 @@ def test_files_round_trip(spark, sf_dir, pieces):
 def test_packing_places_every_id_once(spark, sf_dir, pieces):
     df = documents(spark, sf_dir, 100).repartition(2)
     want = defaultdict(int)
+    ids = defaultdict(list)
     for (d, _), i in zip(rows_of(df), ids_of(pieces, [t for _, t in rows_of(df)]), strict=True):
-        want[d, len(i) + 1] += len(i) + 1
-    got, sequences = defaultdict(int), defaultdict(list)
+        i = [*i, 1]
+        want[d, len(i)] += len(i)
+        ids[d, len(i)].append(np.array(i, "<u4"))
+    got, sequences, at = defaultdict(int), defaultdict(list), defaultdict(list)
     for r in packing.packed(df, word_tokenizer()).collect():
-        got[r["doc_id"], r["doc_tokens"]] += r["length"]
+        key = r["doc_id"], r["doc_tokens"]
+        got[key] += r["length"]
+        at[key].append((r["start"], r["length"]))
         sequences[r["sequence_id"]].append((r["offset"], r["length"], r["tier"]))
+        assert r["ids_crc32"] in {zlib.crc32(i[r["start"] : r["start"] + r["length"]].tobytes()) for i in ids[key]}
     assert got == want
+    for (_, n), parts in at.items():  # each id of each row lies in one piece
+        hit = np.zeros(n, int)
+        for start, length in parts:
+            hit[start : start + length] += 1
+        assert len(set(hit.tolist())) == 1
+    short = 0
     for parts in sequences.values():
-        at = 0
-        for offset, length, _ in sorted(parts):
-            assert offset == at
-            at += length
-        assert at == parts[0][2] <= 2048
-        assert at & (at - 1) == 0
+        end = 0
+        for offset, length, tier in sorted(parts):
+            assert offset == end
+            assert tier in packing.TIERS
+            end += length
+        short += end < parts[0][2]
+        assert end == parts[0][2] or (end < 2048 and parts[0][2] == 2048)
+    assert short <= 2
+    assert packing.packed(df.limit(0), word_tokenizer()).collect() == []
+
+
+def packed_by_hand(docs, size=500):
+    p = packing.Packer(0)
+    pieces = []
+    for k in range(0, len(docs), size):
+        pieces += p.add(docs[k : k + size])
+    return pieces + p.end()
 
 
 def test_a_packer_cuts_little():
     rng = np.random.default_rng(0)
     docs = [(k, rng.integers(0, 9, int(n)).astype("<u4")) for k, n in enumerate(rng.integers(1, 3000, 2000))]
-    p = packing.Packer(0)
-    pieces = p.add(docs) + p.end()
+    pieces = packed_by_hand(docs)
     assert sum(x[2] for x in pieces) == sum(len(i) for _, i in docs)
     assert len(pieces) < 2.2 * len(docs)
     for doc, start, length, crc, *_ in pieces:
         assert zlib.crc32(docs[doc][1][start : start + length].tobytes()) == crc
+
+
+def test_tails_stay_within_tiers():
+    docs = [(k, np.arange(300, dtype="<u4")) for k in range(3)]
+    pieces = packed_by_hand(docs)
+    held = defaultdict(int)
+    for x in pieces:
+        assert x[7] in packing.TIERS
+        held[x[5], x[7]] += x[2]
+    assert sum(n < tier for (_, tier), n in held.items()) <= 1
+    assert sum(held.values()) == 900
+
+
+def test_step_groups_are_alike():
+    rng = np.random.default_rng(1)
+    docs = [(k, np.zeros(int(n), "<u4")) for k, n in enumerate(rng.integers(1, 3000, 1500))]
+    groups, tiers = defaultdict(int), defaultdict(set)
+    for x in packed_by_hand(docs):
+        groups[x[8]] += x[2]
+        tiers[x[8]].add(x[7])
+    assert len(groups) > 2 * packing.OPEN_GROUPS
+    assert max(groups.values()) <= packing.STEP_TOKENS + 2048
+    assert min(groups.values()) > packing.STEP_TOKENS / 2
+    assert sum(len(t) > 1 for t in tiers.values()) > len(tiers) / 2
+
+
+def test_long_texts(spark, pieces):
+    """Texts beyond a block's size, of words and without any white space, in every operator that encodes or measures."""
+    rng = random.Random(3)
+    words = " ".join(rng.choice(["alpha", "beta", "gamma", "x1"]) for _ in range(500_000))
+    df = spark.createDataFrame([(1, words), (2, "y" * 2_500_000), (3, "short"), (None, words)], "doc_id long, text string")
+    n = {1: len(pieces.library.encode(words, add_special_tokens=False).ids), 2: len(pieces.library.encode("y" * 2_500_000, add_special_tokens=False).ids)}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, word_tokenizer()).collect() if r["doc_id"] in n} == n
+    assert {r["doc_id"]: r["n_tokens"] - 1 for r in token_files.token_files(df, word_tokenizer()).collect() if r["doc_id"] in n} == n
+    assert {r["doc_id"]: r["doc_tokens"] - 1 for r in packing.packed(df, word_tokenizer()).collect() if r["doc_id"] in n} == n
+
+
+def test_other_rules_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    rules = json.load(open(word_tokenizer()))
+    rules["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules))
+    for other in (str(path), public_tokenizers.path("byte_bpe_50k.json")):
+        with pytest.raises(ValueError, match="rules"):
+            bpe.WordPieces(other)
+
+
+def test_the_proof_is_stored_once(spark, pieces):
+    at = bpe.proof(spark, word_tokenizer())
+    assert bpe._stored(at) == pieces.whole
+    assert bpe.proof(spark, word_tokenizer()) == at

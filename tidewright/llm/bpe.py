@@ -4,19 +4,27 @@ Pre-tokens never span white space, so a text's ids are those of its white-space
 met before costs one lookup. A new chunk is cut into pre-tokens. A pre-token among the vocabulary strings that
 provably encode alone as one token is taken as that id; what remains is merged, many pre-tokens at a time. Chunks
 with characters beyond the alphabet checked here, or with what may be a special token, go to the library.
+
+The proof is made once, on the driver, and stored in the shared folder under the digest of the tokenizer's file
+(proof()); tasks read it. A file whose rules aren't those spelled out here is refused.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
 
-from tidewright.llm.common import text_bytes
+from tidewright.llm.common import filesystem, shared_base, text_bytes
 from tidewright.llm.words import chunked, ragged, sums
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -30,6 +38,14 @@ LONG = 48
 #: Stands right of a pre-token's last symbol; no merge has it.
 NO_SYMBOL = 1 << 19
 # The contractions and classes of the vocabulary's pre-tokenizer, spelled out for the alphabet below.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 LETTERS = "a-zA-Zªµºß-öø-ſÀ-ÖØ-Þ"
 NUMBERS = "0-9²³¹¼½¾"
 ALPHABET = re.compile("[!-~¡-¬®-įĲ-ňŊ-ž‘’“”–—…\n]*")
@@ -38,13 +54,33 @@ PRETOKEN = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\
 _loaded: dict[str, WordPieces] = {}
 
 
-def load(path: str) -> WordPieces:
-    """The tokenizer of a file, once a process."""
+def load(path: str, proof_at: str | None = None) -> WordPieces:
+    """The tokenizer of a file, once a process; proof_at: where proof() has stored its proof, else it is made anew."""
     if path not in _loaded:
-        _loaded[path] = WordPieces(path)
+        _loaded[path] = WordPieces(path, proof_at)
     return _loaded[path]
 
 
+def proof(spark: SparkSession, path: str) -> str:
+    """The URI of the stored proof for a tokenizer's file: its whole-token strings and their ids as JSON.
+
+    Made at the first call for a file and shared folder, by giving the library every candidate string by itself.
+    """
+    with open(path, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
+    base = shared_base(spark)
+    at = f"{base}/whole-tokens-{digest}.json"
+    fs, place = filesystem(at)
+    if fs.get_file_info(place).type == pafs.FileType.NotFound:
+        text = json.dumps(WordPieces(path).whole, ensure_ascii=False).encode()
+        part = f"{place}.{uuid.uuid4().hex}"
+        fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(part, compression=None) as f:
+            f.write(text)
+        fs.move(part, place)
+    return at
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,6 +88,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _stored(proof_at: str) -> dict[str, int]:
+    fs, place = filesystem(proof_at)
+    with fs.open_input_stream(place, compression=None) as f:
+        return json.loads(f.read())
+
+
 class PairTable:
     """Ranks of symbol pairs, looked up many at a time in a table with a few tries."""
 
@@ -91,15 +133,19 @@ class PairTable:
 
 
 class WordPieces:
-    def __init__(self, path: str):
-        import json
-
+    def __init__(self, path: str, proof_at: str | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
+            rules = json.load(f)
+        model = rules["model"]
+        vocab, end = model["vocab"], model.get("end_of_word_suffix")
+        plain = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+        if model["type"] != "BPE" or not end or any(model.get(k) for k in plain) or rules["normalizer"] != NORMALIZER or rules["pre_tokenizer"] != PRE_TOKENIZER or rules["truncation"] or rules["padding"]:
+            raise ValueError(f"{path}: the rules of this tokenizer aren't those that are known here")
+        if not all(t["content"].startswith("<|") and not t["normalized"] for t in rules["added_tokens"]):
+            raise ValueError(f"{path}: a special token doesn't begin with <|")
         self.letters = byte_letters()
         self.first = np.array([vocab[c] for c in self.letters], np.int64)
         self.last = np.array([vocab[c + end] for c in self.letters], np.int64)
@@ -107,7 +153,7 @@ class WordPieces:
         left, right = (np.array([vocab[m[k]] for m in merges]) for k in (0, 1))
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.pairs = PairTable(left, right)
-        self.whole = self._proven(vocab, end)
+        self.whole = self._proven(vocab, end) if proof_at is None else _stored(proof_at)
         self.forget()
 
     def over(self, rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import shared_dir, written
+
 #: Hashes that a sketch keeps at most, words of a shingle, bits of a hash.
 K, WORDS, BITS = 128, 5, 48
-#: Cells of ids; rows of a range, and ranges at most.
-CELLS, PER_RANGE, MOST_RANGES = 1 << 15, 2000, 20_000
+#: Rows of a range, and ranges at most (without those of ids that hold more rows than a range).
+PER_RANGE, MOST_RANGES = 2000, 100_000
 
 
 def with_sketch(df: DataFrame, text: str, to: str, k: int = K, words: int = WORDS) -> DataFrame:
@@ -70,41 +72,77 @@ def merged(parts: DataFrame, key: str, sketch: str, k: int = K) -> DataFrame:
     return parts.select(key).distinct().join(ranked.groupBy(key).agg(F.array_sort(F.collect_list("h")).alias(sketch)), key, "left").withColumn(sketch, F.coalesce(sketch, F.array().cast("array<long>")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), x, tie (the text's hash). x ascends as doc_id descends and never overflows: its
+    complement; null, the last, for no id."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("x", F.bitwise_not("doc_id")).withColumn("tie", F.xxhash64("text"))
+
+
+def _array(values: list, kind: str) -> Column:
+    """Some values as one constant, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _place(x: Column, lows: list[int]) -> Column:
+    """How many of the ascending values are at most x: first among every w-th, then among the w that follow."""
+    w = max(1, int(len(lows) ** 0.5))
+    firsts = _array(lows[::w], "bigint")
+    groups = F.transform(F.split(F.lit(";".join(",".join(map(str, lows[k : k + w])) for k in range(0, len(lows), w))), ";"), lambda s: F.split(s, ",").cast("array<bigint>"))
+    n = F.size(F.filter(firsts, lambda v: v <= x))
+    return F.when(n == 0, 0).otherwise((n - 1) * w + F.size(F.filter(F.element_at(groups, F.greatest(n, F.lit(1))), lambda v: v <= x)))
+
+
 def dealt_ranges(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     """doc_id, text, tie, at, copy: rows dealt to ranges of descending doc_id, in which each row has its follower.
 
-    Ids fall into CELLS cells of even width, null ids (last in order) into as many by their texts' hash. Neighbouring
-    cells are joined to ranges of about per_range rows, at most MOST_RANGES. A range's first row is also dealt,
-    with copy = 1, to the range before (that of the very first to the last). Rows of one id follow each other by
-    hash, then text. Only one row a cell comes to the driver; the table of cells is broadcast.
+    Ranges are bounded by quantiles of the ids and hold about per_range rows, whatever the ids are; the rows of an id,
+    or of none, that has more are dealt on by their texts' hash. There are at most MOST_RANGES, of whose bounds and
+    first rows alone the driver hears, and as many more as such ids fill. A range's first row is also dealt, with
+    copy = 1, to the range before (that of the very first to the last). Rows of one id follow each other by hash, then
+    text. Equal rows that would fill a range by themselves become one, with their number in a further column, times.
     """
-    spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    low, high = docs.select(F.min(docs["doc_id"].cast("long")), F.max(docs["doc_id"].cast("long"))).first()
-    width = max(1.0, (float(high) - float(low)) / CELLS) if low is not None else 1.0
-    tie = F.xxhash64("text")
-    by_id = F.least(F.floor((F.lit(float(high or 0)) - F.col("doc_id").cast("double")) / width), F.lit(CELLS - 1))
-    by_hash = F.least(F.floor((tie.cast("double") + 2.0**63) / (2.0**64 / CELLS)), F.lit(CELLS - 1)) + CELLS
-    rows = rows.withColumn("tie", tie).withColumn("cell", F.coalesce(by_id, by_hash).cast("int"))
-    # the bitwise complement turns the order of ids around and never overflows
-    first = F.min(F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("d"), F.col("tie").alias("t")))
-    cells = sorted(rows.groupBy("cell").agg(F.count("*").alias("n"), first.alias("first")).collect())
-    most = max(per_range, sum(c["n"] for c in cells) // MOST_RANGES)
-    at, held, range_ = [], 0, -1
-    for c in cells:
-        if range_ < 0 or held + c["n"] > most:
-            range_, held = range_ + 1, 0
-            at.append((c["cell"], range_, c["first"]["d"], c["first"]["t"]))
-        else:
-            at.append((c["cell"], range_, None, None))
-        held += c["n"]
-    before = [(c, r, d, t, (r - 1) % (range_ + 1) if d is not None else None) for c, r, d, t in at]
-    where = spark.createDataFrame(before, "cell int, range int, first_d long, first_t long, before int")
-    near = rows.join(F.broadcast(where), "cell")
-    is_first = F.coalesce((F.bitwise_not(F.coalesce("doc_id", F.lit(0))) == F.col("first_d")) & (F.col("tie") == F.col("first_t")), F.lit(False))
+    rows = _keyed(docs)
+    # digests only: what is needed of the texts to bound the ranges
+    slim = written(rows.select("x", "tie"), f"{shared_dir(docs.sparkSession)}/ids")
+    n, with_id = slim.select(F.count("*"), F.count("x")).first()
+    most = max(per_range, -(-n // MOST_RANGES))
+    shares = max(1, -(-with_id // most))
+    lows = set()
+    if shares > 1:
+        lows |= set(slim.select(F.percentile_approx("x", _array([k / shares for k in range(1, shares)], "double"), max(10_000, 10 * shares))).first()[0])
+    hot = {r["x"]: r["n"] for r in slim.groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") > most).collect()}
+    same = slim.groupBy("x", "tie").agg(F.count("*").alias("n")).filter(F.col("n") > most).drop("n").collect() if hot else []
+    if same:
+        one = docs.sparkSession.createDataFrame([(*r, True) for r in same], "same_x long, same_tie long, same boolean")
+        marked = rows.join(F.broadcast(one), F.col("x").eqNullSafe(F.col("same_x")) & (F.col("tie") == F.col("same_tie")), "left")
+        as_one = marked.filter("same").groupBy("doc_id", "x", "tie", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count("*").alias("times"))
+        rows = marked.filter("same is null").select(*rows.columns, F.lit(1).cast("long").alias("times")).unionByName(as_one.drop("sha"))
+    for x in hot:
+        if x is not None:
+            lows |= {x, x + 1}
+    lows = sorted(lows)
+    # segments: below the first bound, between bounds, from the last on, and no id
+    parts = [1, *[-(-hot[x] // most) if x in hot else 1 for x in lows], -(-hot.get(None, 0) // most) or 1]
+    offsets = [0]
+    for p in parts:
+        offsets.append(offsets[-1] + p)
+    segment = F.when(F.col("x").isNull(), len(parts) - 1).otherwise(_place(F.col("x"), lows) if lows else 0).cast("int")
+    of = lambda values, i: F.element_at(_array(values, "int"), i + 1)
+    share = F.floor((F.col("tie").cast("double") + 2.0**63) / 2.0**64 * of(parts, F.col("segment")))
+    rows = rows.withColumn("segment", segment)
+    rows = rows.withColumn("range", (of(offsets, F.col("segment")) + F.least(share, of(parts, F.col("segment")) - 1)).cast("int"))
+    # the first row of each range, from the written digests
+    slim = slim.withColumn("segment", segment).withColumn("range", (of(offsets, F.col("segment")) + F.least(share, of(parts, F.col("segment")) - 1)).cast("int"))
+    firsts = slim.groupBy("range").agg(F.min(F.struct(F.coalesce("x", F.lit(0)).alias("x"), "tie")).alias("first")).collect()
+    there = sorted((r["range"], r["first"]["x"], r["first"]["tie"]) for r in firsts)
+    before = [(r, x, t, there[k - 1][0]) for k, (r, x, t) in enumerate(there)]
+    where = docs.sparkSession.createDataFrame(before, "range int, first_x long, first_tie long, before int")
+    near = rows.join(F.broadcast(where), "range")
+    is_first = (F.coalesce("x", F.lit(0)) == F.col("first_x")) & (F.col("tie") == F.col("first_tie"))
     own, other = (F.struct(F.col(c).alias("at"), F.lit(k).alias("copy")) for c, k in (("range", 0), ("before", 1)))
     near = near.withColumn("to", F.explode(F.when(is_first, F.array(own, other)).otherwise(F.array(own))))
-    return near.select("doc_id", "text", "tie", F.col("to.at").alias("at"), F.col("to.copy").alias("copy"))
+    return near.select("doc_id", "text", "tie", *(["times"] if same else []), F.col("to.at").alias("at"), F.col("to.copy").alias("copy"))
 
 
 def fingerprint_report(docs: DataFrame, k: int = K) -> DataFrame:
@@ -116,18 +154,24 @@ def fingerprint_report(docs: DataFrame, k: int = K) -> DataFrame:
     the sketches follow in the same tasks. Nulls count as empty texts; null ids come last; repeated rows are each a
     document; with one row, the next is itself. An empty table gives no rows. Other columns are ignored.
     """
-    rows = dealt_ranges(docs)
+    rows = dealt_ranges(docs, PER_RANGE)
     w = Window.partitionBy("at").orderBy("copy", F.col("doc_id").desc_nulls_last(), "tie", "text")
     rows = with_sketch(rows.withColumn("next", F.lead("text").over(w)), "text", "own", k)
     rows = rows.withColumn("follower", F.lead("own").over(w)).filter("copy = 0").drop("at", "copy", "tie")
+    times = "times" in rows.columns
+    if times:  # of equal rows that are one here, all but the last are followed by their like
+        like = F.struct((F.col("times") - 1).alias("rows"), F.col("text").alias("next"), F.col("own").alias("follower"))
+        last = F.struct(F.lit(1).cast("long").alias("rows"), F.col("next").alias("next"), F.col("follower").alias("follower"))
+        rows = rows.withColumn("each", F.explode(F.when(F.col("times") > 1, F.array(like, last)).otherwise(F.array(last)))).select("doc_id", "text", "own", "each.*")
     n = F.length("text")
     part = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("text", n - part), F.left("next", part)))
     rows = with_sketch(rows, "edited", "other", k)
     rows = rows.withColumn("with_edited", _union("own", "other", k)).withColumn("with_next", _union("own", "follower", k))
-    return rows.select(
+    out = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         encoded(F.col("own")).alias("fingerprint"), encoded(F.col("other")).alias("edited_fingerprint"),
         _shared("with_edited", "own", "other").alias("near_edited"), _shared("with_next", "own", "follower").alias("near_next"),
-        F.round(containment(F.col("own"), F.col("other"), k), 6).alias("contained_in_edited"), distinct_count(F.col("own"), k).alias("n_shingles"),
+        F.round(containment(F.col("own"), F.col("other"), k), 6).alias("contained_in_edited"), distinct_count(F.col("own"), k).alias("n_shingles"), *(["rows"] if times else []),
     )
+    return out.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows") if times else out

@@ -26,7 +26,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """source, source_size, target: budgets by weight, each at most `most` times the source, the excess reshared.
 
     sizes: source, size. Filling up in closed form: sources ordered by limit per unit of weight stop at their limit
-    while the level that the rest would share is at or over theirs. One row a source; windows run over these rows only.
+    while the level that the rest would share is at or over theirs. One row a source; windows run over these rows only,
+    in one task: the number of sources (some 10 million at most) bounds it, not the documents.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -53,12 +54,11 @@ def thresholds(slim: DataFrame, folder: str, weights: tuple[int, ...] = WEIGHTS,
     per = targets(slim, weights, share, most)
     per = per.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     per = written(per.withColumn("rest", F.floor(F.col("target") - F.col("copies") * F.col("source_size"))), f"{folder}/sources")
-    n_sources = per.count()
     keyed = slim.withColumn("key", F.struct("source"))
     state = per.select(F.struct("source").alias("key"), "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for level in range(1, BITS // STEP + 1):
         shift = BITS - STEP * level
-        inside = join_small(keyed, state, "key", "inner", n_sources).filter(F.shiftright("hash", shift + STEP) == F.col("prefix"))
+        inside = join_small(keyed, state, "key", "inner").filter(F.shiftright("hash", shift + STEP) == F.col("prefix"))
         bins = inside.groupBy("key", "rest", "before", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.min("hash").alias("least"), F.max("hash").alias("most"))
         up_to = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         bins = bins.withColumn("after", F.col("before") + F.sum("words").over(up_to)).withColumn("start", F.col("after") - F.col("words"))

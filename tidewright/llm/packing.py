@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidewright.llm.bpe import BLOCK, load
+from tidewright.llm.bpe import BLOCK, load, proof
 from tidewright.llm.common import blocks, texts, tune
 
 #: Context sizes, powers of two.
 TIERS = (2048, 1024, 512, 256)
-#: Tokens of the sequences that make a step group, and groups open at a time.
+#: Ids of a step group, and groups that are dealt together.
 STEP_TOKENS, OPEN_GROUPS = 32 * 2048, 8
 #: A gap of fewer ids is closed by a cut at once, as hardly a whole document fits.
 SMALL_GAP = 16
@@ -30,31 +30,44 @@ class Packer:
     A document's whole windows of the largest tier are sequences of their own; what is left of it is routed to the
     least tier that holds it. Each tier is packed, longest first: a rest gets a window, its gap is filled by the
     longest rests of shorter tiers that fit, and the last bit by cutting one. A rest for which nothing is there to
-    fill with waits for later documents. end() cuts what waits into windows of the largest tier and the tail into
-    powers of two, so that no sequence needs padding.
+    fill with waits for later documents. end() packs what waits into windows of the largest tier, of which the task's
+    very last one is padded.
+
+    Sequences of OPEN_GROUPS step groups are dealt together, the longest first and each to the group with the fewest
+    ids, so that groups are alike and of all tiers; at the end of a task, the rest makes as many groups as it fills.
     """
 
     def __init__(self, prefix: int, tiers: tuple[int, ...] = TIERS):
         self.tiers, self.prefix = tiers, prefix
-        self.next, self.group, self.pieces = 0, OPEN_GROUPS, []
+        self.next, self.group, self.pieces = 0, 0, []
+        self.waiting: list[tuple[int, list[tuple]]] = []  # (ids, pieces) of sequences without a step group
+        self.waiting_ids = 0
         self.rests: list[tuple[int, int]] = []  # (ids, number), sorted
         self.of: dict[int, tuple] = {}  # number -> doc, start, ids, doc_tokens
         self.numbers = 0
-        self.groups = [(0, g) for g in range(OPEN_GROUPS)]
 
     def _emit(self, parts: list[tuple]) -> None:
         total = sum(len(p[2]) for p in parts)
-        used, g = self.groups[0]
-        if used + total >= STEP_TOKENS:
-            heapq.heapreplace(self.groups, (0, self.group))
-            self.group += 1
-        else:
-            heapq.heapreplace(self.groups, (used + total, g))
-        offset = 0
+        tier = total if total in self.tiers else self.tiers[0]
+        offset, found = 0, []
         for doc, start, ids, n in parts:
-            self.pieces.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), n, self.prefix | self.next, offset, total, self.prefix | g))
+            found.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), n, self.prefix | self.next, offset, tier))
             offset += len(ids)
         self.next += 1
+        self.waiting.append((total, found))
+        self.waiting_ids += total
+        if self.waiting_ids >= OPEN_GROUPS * STEP_TOKENS:
+            self._deal(OPEN_GROUPS)
+
+    def _deal(self, groups: int) -> None:
+        """Deals the waiting sequences to so many new step groups."""
+        open_ = [(0, self.group + k) for k in range(groups)]
+        self.group += groups
+        for total, found in sorted(self.waiting, key=lambda x: -x[0]):
+            used, g = open_[0]
+            heapq.heapreplace(open_, (used + total, g))
+            self.pieces += [(*p, self.prefix | g) for p in found]
+        self.waiting, self.waiting_ids = [], 0
 
     def _route(self, part: tuple) -> None:
         if len(part[2]):
@@ -116,18 +129,19 @@ class Packer:
         return pieces
 
     def end(self) -> list[tuple]:
-        left = sum(n for n, _ in self.rests)
-        while left:
-            size = min(self.tiers[0], 1 << (left.bit_length() - 1))
+        top = self.tiers[0]
+        while self.rests:
             parts = [self._take(len(self.rests) - 1)]
-            if (over := len(parts[0][2]) - size) > 0:
-                doc, start, ids, n = parts[0]
-                parts = [(doc, start, ids[:size], n)]
-                self._route((doc, start + size, ids[size:], n))
-            elif over:
-                self._filled(parts, -over, 2 * size)
+            room = top - len(parts[0][2])
+            while room and self.rests:
+                at = max(bisect_right(self.rests, (room, self.numbers)) - 1, 0)
+                doc, start, ids, n = self._take(at)
+                parts.append((doc, start, ids[:room], n))
+                self._route((doc, start + room, ids[room:], n))
+                room -= len(parts[-1][2])
             self._emit(parts)
-            left -= size
+        if self.waiting:
+            self._deal(-(-self.waiting_ids // STEP_TOKENS))
         pieces, self.pieces = self.pieces, []
         return pieces
 
@@ -136,17 +150,19 @@ def packed(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[in
     """Pieces of the sequences that all documents are packed into: one row a piece, without a shuffle.
 
     Every task packs its own partition, some MB of text at a time, so that memory is bounded by the tiers and the
-    block, not by the partition. sequence_id and step_group carry the partition's number in their upper bits; tier
-    is the sequence's length, a power of two. Step groups hold about STEP_TOKENS ids each, of all tiers: a sequence
-    goes to the emptiest open group. A null or empty text is the id `end` alone, or without `end` has no piece.
-    Ids may be null or repeated, each row is a document of its own. Other columns are ignored.
+    block, not by the partition; a longer text is encoded by itself and cut into windows. sequence_id and step_group
+    carry the partition's number in their upper bits; tier is the sequence's length, one of `tiers`. Only a task's last
+    sequence may hold fewer ids: it is of the largest tier, to which it is padded. Step groups hold about STEP_TOKENS
+    ids each, of all tiers. A null or empty text is the id `end` alone, or without `end` has no piece. Ids may be null
+    or repeated, each row is a document of its own; an empty table gives no rows. Other columns are ignored.
     """
     tune(docs.sparkSession)
+    proven = proof(docs.sparkSession, tokenizer)
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, packer, of_id = load(tokenizer), Packer(TaskContext.get().partitionId() << 33, tiers), pa.int64()
+        pieces, packer, of_id = load(tokenizer, proven), Packer(TaskContext.get().partitionId() << 33, tiers), pa.int64()
 
         def batch(found: list[tuple]) -> Iterator[pa.RecordBatch]:
             if found:

@@ -189,24 +189,44 @@ def pii_spans(docs: DataFrame, extra: tuple[str, ...] = ("iban", "ssn")) -> Data
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: the digest of pii_spans for each row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores: the digest of pii_spans for each row of docs.
+
+    scores has the scores of all spans, in their order. A null or empty text has no spans; ids may be null or repeated;
+    an empty table gives no rows; other columns are ignored.
+    """
     kinds = (*BASE, "iban", "ssn")
     out = pii_spans(docs.select("doc_id", "text"))
 
     def listed(k: str) -> Column:
         return F.transform(f"spans_{k}", lambda x: F.concat_ws(":", F.lit(k), x["start"].cast("string"), x["end"].cast("string")))
 
+    scores = F.concat(*[F.transform(f"spans_{k}", lambda x: F.format_string("%.2f", x["score"])) for k in kinds])
     return out.select(
         "doc_id", *[F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.concat(*map(listed, BASE)), ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(*map(listed, kinds)), ",").alias("spans"),
+        F.array_join(F.concat(*map(listed, kinds)), ",").alias("spans"), F.array_join(scores, ",").alias("scores"),
     )
 
 
+#: Code points of the blocks that a text is cut into once, so that a piece is found without going through all before it.
+BLOCK_CHARS = 1024
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text that was cut into blocks."""
+    a, b = (start / BLOCK_CHARS).cast("int"), (end / BLOCK_CHARS).cast("int")
+    block = lambda i: F.coalesce(F.try_element_at(blocks, i + 1), F.lit(""))
+    within = F.substring(block(a), start % BLOCK_CHARS + 1, end - start)
+    across = F.concat(F.substring(block(a), start % BLOCK_CHARS + 1, F.lit(BLOCK_CHARS)), F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.left(block(b), end % BLOCK_CHARS))
+    return F.when(end <= start, "").when(a == b, within).otherwise(across)
+
+
 def pii_masked(docs: DataFrame, kinds: tuple[str, ...] = (*BASE, "iban", "ssn")) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; n_chars, if there, is the new length.
 
-    Spans that overlap are replaced as one, by the name of the one that starts first (the longer one at a tie).
+    Spans that overlap are replaced as one, by the name of the one that starts first (the longer one at a tie). Null
+    texts stay null; ids, ties and repeated rows play no part; an empty table stays empty. The work grows with a text's
+    length and with its spans times the root of their number.
     """
     # columns of docs may have the names that are used here
     out = pii_spans(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c != "text"}))
@@ -214,13 +234,26 @@ def pii_masked(docs: DataFrame, kinds: tuple[str, ...] = (*BASE, "iban", "ssn"))
     def marks(k: str) -> Column:
         return F.transform(f"spans_{k}", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(f"[{k.upper()}]").alias("mark")))
 
-    marked = F.concat(*map(marks, kinds))
-    out = out.withColumn("__all", F.array_sort(marked))
-    # pieces: (position reached, text so far); spans that begin before it are inside an earlier one
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    step = lambda a, x: F.when(x["start"] >= a["at"], F.struct((-x["back"]).alias("at"), F.concat(a["parts"], F.array(F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), x["mark"])).alias("parts"))).otherwise(F.struct(F.greatest(a["at"], -x["back"]).alias("at"), a["parts"].alias("parts")))
-    text = F.aggregate("__all", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = out.withColumn("text", F.when(F.size("__all") > 0, text).otherwise(F.col("text")))
+    out = out.withColumn("__all", F.array_sort(F.concat(*map(marks, kinds))))
+    # how far the spans before each one reach: by blocks, blocks before each block, then within a block
+    none = F.array().cast("array<int>")
+    highest = lambda x: F.coalesce(F.array_max(x), F.lit(0))
+    out = out.withColumn("__ends", F.transform("__all", lambda x: -x["back"])).withColumn("__w", F.ceil(F.sqrt(F.size("__ends"))).cast("int"))
+    many, w = F.sequence(F.lit(0), F.ceil(F.size("__ends") / F.col("__w")).cast("int") - 1), F.col("__w")
+    out = out.withColumn("__tops", F.when(F.size("__ends") > 0, F.transform(many, lambda b: highest(F.slice("__ends", b * w + 1, w)))).otherwise(none))
+    out = out.withColumn("__past", F.transform("__tops", lambda _, b: highest(F.slice("__tops", F.lit(1), b))))
+
+    def reach(_: Column, i: Column) -> Column:
+        at = (i / w).cast("int")
+        return F.greatest(F.element_at("__past", at + 1), highest(F.slice("__ends", at * w + 1, i % w)))
+
+    out = out.withColumn("__reach", F.when(F.size("__ends") > 0, F.transform("__ends", reach)).otherwise(none))
+    # spans that begin before the reach of earlier ones are inside those
+    own = F.filter(F.arrays_zip("__all", "__reach"), lambda x: x["__all"]["start"] >= x["__reach"])
+    out = out.withColumn("__own", own).withColumn("__blocks", F.when(F.size("__all") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    parts = F.transform("__own", lambda x: F.concat(_piece(F.col("__blocks"), x["__reach"], x["__all"]["start"]), x["__all"]["mark"]))
+    rest = _piece(F.col("__blocks"), F.array_max("__ends"), F.length("text"))
+    out = out.withColumn("text", F.when(F.size("__all") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("__own_n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(c if c == "text" else f"__own_{c}").alias(c) for c in docs.columns])

@@ -153,30 +153,63 @@ def common_prefixes(codes: np.ndarray, ends: np.ndarray, order: np.ndarray, owne
     return found[order]
 
 
+def lcp_intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, words) of the intervals of the suffix order whose suffixes share `least` words or more, at most that.
+
+    lcp[k]: what suffix k shares with the one before it; below `least` between documents. A stack holds the open
+    intervals, each within the one below; an interval is closed where less is shared.
+    """
+    first, last, words = [], [], []
+    stack: list[tuple[int, int]] = []  # (words, first)
+    for k, shared in enumerate([*lcp.tolist()[1:], 0], 1):
+        begin = k - 1
+        while stack and stack[-1][0] > shared:
+            n, begin = stack.pop()
+            first.append(begin)
+            last.append(k - 1)
+            words.append(n)
+        if shared >= least and (not stack or stack[-1][0] < shared):
+            stack.append((shared, begin))
+    return tuple(np.array(x, np.int64) for x in (first, last, words))
+
+
 def repeats(codes: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(covered, longest, starts): whether each word is in a repeat of at least `least` words of its document; the
-    words of each document's longest repeat, 0 if none; the starts of maximal repeats (neighbours in the suffix order
-    share at least `least` words and the word before doesn't extend the match)."""
+    """(covered, longest, counts) by the maximal repeats of each document.
+
+    A maximal repeat is an interval of common prefixes of at least `least` words whose suffixes don't all follow the
+    same word: neither end can be extended without losing an occurrence. covered: whether each word is in one, longest:
+    the words of each document's longest (0 if none), counts: how many different ones each document has. The spans'
+    union needs, of each suffix, only the innermost interval: it is the longest that begins there, and if it isn't
+    maximal, the suffix before it has a longer one that ends at the same word.
+    """
     n = len(codes)
     counts = np.diff(off)
     owner = np.repeat(np.arange(len(counts)), counts)
     ends = np.repeat(off[1:], counts)
     at = repeated_grams(codes, owner, ends, least)
-    covered, longest = np.zeros(n, bool), np.zeros(len(counts), np.int64)
+    covered, longest, found = np.zeros(n, bool), np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     if not len(at):
-        return covered, longest, at
+        return covered, longest, found
     order = suffix_order(codes, ends, at, owner, least)
     lcp = common_prefixes(codes, ends, order, owner, at)
-    match = np.zeros(n, np.int64)
-    match[order] = np.maximum(lcp, np.append(lcp[1:], 0))
-    steps = np.zeros(n + 1, np.int64)
-    hit = at[match[at] >= least]
-    np.add.at(steps, hit, 1)
-    np.add.at(steps, hit + match[hit], -1)
-    covered = np.cumsum(steps[:-1]) > 0
-    np.maximum.at(longest, owner[hit], match[hit])
-    inner = (hit > 0) & (match[np.maximum(hit - 1, 0)] == match[hit] + 1) & (owner[np.maximum(hit - 1, 0)] == owner[hit])
-    return covered, longest, hit[~inner]
+    first, last, words = lcp_intervals(lcp, least)
+    if not len(first):
+        return covered, longest, found
+    # what stands before each suffix; a document's start is like nothing else
+    before = np.where(order > off[owner[order]], codes[np.maximum(order - 1, 0)].astype(np.int64), -1 - order)
+    changes = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    maximal = changes[last] > changes[first]
+    first, last, words = first[maximal], last[maximal], words[maximal]
+    docs = owner[order[first]]
+    np.maximum.at(longest, docs, words)
+    np.add.at(found, docs, 1)
+    # a suffix's innermost interval is as deep as what it shares with the nearer of its neighbours
+    inner = np.maximum(lcp, np.append(lcp[1:], 0))
+    hit = inner >= least
+    covers = np.zeros(n + 1, np.int64)
+    np.add.at(covers, order[hit], 1)
+    np.add.at(covers, order[hit] + inner[hit], -1)
+    return np.cumsum(covers[:-1]) > 0, longest, found
 
 
 def duplicate_lines(text: str) -> int:
@@ -196,22 +229,21 @@ def measured(text: pa.Array, max_covered: float, max_longest: int) -> tuple[np.n
     words, codes, off = chunked(text)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     n = np.diff(off)
-    covered, longest, starts = repeats(codes, off)
+    covered, longest, n_repeats = repeats(codes, off)
     n_covered = sums(covered, off)
     covered_chars = sums(np.where(covered, lengths[codes], 0) if len(codes) else np.zeros(0, np.int64), off)
-    n_starts = np.diff(np.searchsorted(starts, off))
     lines = np.fromiter(map(duplicate_lines, text.to_pylist()), np.int64, len(text))
     failed = (n < MIN_WORDS) | (100 * n_covered > MAX_REPEAT_PERCENT * n)
     share = np.where(covered_chars > SHORT_CHARS, max_covered, max(max_covered, MAX_COVERED_SHORT))
     kept = ~failed & (covered_chars <= share * word_chars) & (longest <= max_longest)
-    return n, word_chars, symbols, lines, n_covered, failed, kept, longest, covered_chars, n_starts
+    return n, word_chars, symbols, lines, n_covered, failed, kept, longest, covered_chars, n_repeats
 
 
 def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """One row for each of docs, without a shuffle: doc_id, the rules' measures, base_failed and kept.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean), longest_repeat
-    (words), repeat_chars, n_repeats (maximal repeats' starts). kept is false for base_failed, for repeats over
+    (words), repeat_chars, n_repeats (different maximal repeats). kept is false for base_failed, for repeats over
     max_covered of the characters (MAX_COVERED_SHORT up to SHORT_CHARS characters of repeats), and for a longest repeat
     of over max_longest words; both limits reach documents that the base rules pass. Texts are handled some MB at a time, a
     longer one by itself. A null or empty text has no words and fails the base rules. Ids may be null or repeated;
@@ -230,7 +262,11 @@ def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest
 
 
 def kept_documents(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """The rows of docs, all columns, that quality_rules keeps. docs needs a string column text."""
+    """The rows of docs, all columns, that quality_rules keeps. docs needs a string column text.
+
+    Null, empty and long texts, ties and repeated rows are as there: each row is judged by its own text. An empty table
+    stays empty.
+    """
     tune(docs.sparkSession)
     place = docs.columns.index("text")
 

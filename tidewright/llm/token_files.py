@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.bpe import BLOCK, load
+from tidewright.llm.bpe import BLOCK, load, proof
 from tidewright.llm.common import blocks, filesystem, shared_dir, texts, tune, written
 from tidewright.llm.framing import frames, unframed
 
@@ -40,20 +40,24 @@ def parsed(record: bytes) -> tuple[int | None, np.ndarray]:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int | None = 1, partitions: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes every text and writes shards in ascending doc_id (part, then shard, then place in it). Returns the manifest.
 
-    docs: doc_id (integer) and text; other columns are ignored. Range partitions of doc_id are one shuffle of the
-    texts; each task encodes its own and writes record files of about shard_bytes under folder, each with a Parquet
+    docs: doc_id (integer) and text; other columns are ignored. Range partitions of doc_id, and within an id of the
+    text's hash, are one shuffle of the texts: many rows without an id, or of one, are no hot task; each task encodes its own and writes record files of about shard_bytes under folder, each with a Parquet
     index (doc_id, offset, n_bytes, n_ids) beside it. A file's name is new in each attempt of a task and only files
     of attempts that ended are in the manifest, which is written to folder, so that retries and lost executors do no
     harm. Null texts count as empty: the record then holds `end` alone, or nothing. Null ids come first. Repeated
-    rows give a record each; rows of one doc_id follow each other by text. An empty table gives an empty manifest.
+    rows give a record each; rows of one doc_id follow each other by their
+    texts' hash, then text. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     tune(spark)
+    proven = proof(spark, tokenizer)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = (rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")).sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(partitions, "doc_id", "tie") if partitions else rows.repartitionByRange("doc_id", "tie")
+    rows = rows.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, (fs, root), part, shard = load(tokenizer), filesystem(folder), TaskContext.get().partitionId(), 0
+        pieces, (fs, root), part, shard = load(tokenizer, proven), filesystem(folder), TaskContext.get().partitionId(), 0
         out, done = None, []
 
         def close() -> None:

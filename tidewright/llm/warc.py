@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import filesystem, join_skewed, shared_dir, tune, written
@@ -19,64 +19,108 @@ from tidewright.llm.common import filesystem, join_skewed, shared_dir, tune, wri
 CHUNK, LEAST_SHARED, FILE_BYTES = 1 << 18, 1000, 256 << 20
 # Fixed values of the format.
 VERSION = "WARC/1.1"
+DATE = "WARC-Date: 1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _FILES = "path string, n_records long"
-_CHUNKS = "page_id long, url string, record_type string, refers_to long, chunk_no int, is_last boolean, bytes_so_far long, digest_so_far string, payload_bytes long, payload_digest string"
+_CHUNKS = "record_id string, page_id long, url string, record_type string, refers_to long, chunk_no int, is_last boolean, bytes_so_far long, digest_so_far string, payload_bytes long, payload_digest string"
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (null: empty), payload_bytes, payload_digest (SHA-1), record_type, refers_to for each page.
-
-    Pages of equal payloads (length, SHA-1 and MD5) of at least LEAST_SHARED bytes: the largest page_id is the
-    response, the others refer to it. Groups are counted before the shuffle and joined back as join_skewed says, so
-    that a group of any size is no hot task. Repeated rows of the response's id are responses each; null ids are
-    never the response of a group that has another, and refer to it.
+    """Each page as a record: record_id, page_id, url, payload, payload_bytes, payload_digest (SHA-1), record_type,
+    refers_to, refers_to_id, refers_to_url.
+
+    Pages of equal payloads (length, SHA-1 and MD5; null html: empty) of at least LEAST_SHARED bytes: the largest
+    page_id is the response, the others refer to it. Groups are counted before the shuffle and joined back as
+    join_skewed says, so that a group of any size is no hot task. Repeated rows of the response's id are responses
+    each; null ids are never the response of a group that has another, and refer to it. Every record has an id of its
+    own; that of a response which others refer to follows from its page and payload. refers_to_id is null where several
+    rows have the response's page_id.
     """
-    slim = pages.select("page_id", F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("b"))
-    slim = slim.select("page_id", F.octet_length("b").cast("long").alias("n"), F.concat_ws(":", F.octet_length("b").cast("string"), F.sha1("b"), F.md5("b")).alias("key"))
-    groups = slim.filter(F.col("n") >= LEAST_SHARED).groupBy("key").agg(F.max("page_id").alias("response"), F.count("*").alias("n_pages")).filter("n_pages > 1")
+    slim = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("b"))
+    slim = slim.select("page_id", "url", F.octet_length("b").cast("long").alias("n"), F.concat_ws(":", F.octet_length("b").cast("string"), F.sha1("b"), F.md5("b")).alias("key"))
+    per_page = slim.filter(F.col("n") >= LEAST_SHARED).groupBy("key", "page_id").agg(F.count("*").alias("rows"), F.max("url").alias("url"))
+    groups = per_page.groupBy("key").agg(F.max("page_id").alias("response"), F.max_by(F.struct("rows", "url"), "page_id").alias("of"), F.sum("rows").alias("n_pages")).filter("n_pages > 1")
     folder = shared_dir(pages.sparkSession)
-    groups = written(groups, f"{folder}/groups")
+    groups = written(groups.select("key", "response", (F.col("of.rows") == 1).alias("alone"), F.col("of.url").alias("refers_to_url"), "n_pages"), f"{folder}/groups")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     rows = rows.withColumn("key", F.concat_ws(":", F.col("payload_bytes").cast("string"), "payload_digest", F.md5("payload")))
     total = groups.agg(F.coalesce(F.sum("n_pages"), F.lit(0))).first()[0]
     rows = join_skewed(rows, groups, "key", "n_pages", total)
-    revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).cast("long").alias("refers_to"))
+    again = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
+    known = _as_uuid(F.md5(F.concat_ws(":", F.col("response").cast("string"), "key").cast("binary")))
+    own = F.when(F.col("response").isNotNull() & F.col("alone") & ~again, known).otherwise(F.uuid())
+    return rows.select(
+        own.alias("record_id"), "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.when(again, F.col("response")).cast("long").alias("refers_to"), F.when(again & F.col("alone"), known).alias("refers_to_id"), F.when(again, F.col("refers_to_url")).alias("refers_to_url"),
+    )
+
+
+def _as_uuid(digest: Column) -> Column:
+    """32 hexadecimal digits as a UUID of version 8."""
+    part = lambda a, n: F.substring(digest, a, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-8"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12))
 
 
 def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The planned records as rows of (record, chunk_no, data), each record's chunks in turn; revisits have one, empty."""
+    """The planned records as rows of (record_id, chunk_no, data), each record's chunks in turn; revisits have one, empty.
+
+    The rows are generated and cut within one compiled stage: of a payload, which its page's row holds, a chunk is
+    copied at a time, and only the chunk goes on.
+    """
     stored = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
     n = F.greatest(F.ceil(stored / chunk), F.lit(1)).cast("int")
     rows = records.withColumn("n_chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
     data = F.when(F.col("record_type") == "response", F.col("payload").substr(F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
-    return rows.select("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "chunk_no", "n_chunks", data.alias("data"))
-
-
-def _uuid(page_id: int | None, digest: str) -> str:
-    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}"))
+    return rows.select("record_id", "page_id", "url", "record_type", "refers_to", "refers_to_id", "refers_to_url", "payload_bytes", "payload_digest", "chunk_no", "n_chunks", data.alias("data"))
 
 
 def _clean(text: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in text or "")
 
 
-def heads(page_id: int | None, url: str | None, kind: str, refers_to: int | None, n: int, digest: str) -> bytes:
-    """A record's header lines and the HTTP header before its payload; Content-Length of the HTTP header is the full payload's."""
+def _block_digest(block: bytes) -> str:
+    return f"WARC-Block-Digest: sha1:{hashlib.sha1(block, usedforsecurity=False).hexdigest()}"
+
+
+def _record(lines: list[str]) -> bytes:
+    return "\r\n".join([VERSION, *lines]).encode() + b"\r\n\r\n"
+
+
+def about(name: str) -> bytes:
+    """The warcinfo record that a file begins with."""
+    block = b"software: tidewright\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Filename: {name}", DATE, _block_digest(block), "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return _record(lines) + block + b"\r\n\r\n"
+
+
+def heads(r: dict) -> bytes:
+    """A record's header lines and the HTTP header before its payload, from its first chunk's row.
+
+    Content-Length of the HTTP header is the full payload's. The digest of the block, which stands before it, is given
+    where the block is at hand: for revisits and for payloads of one chunk.
+    """
+    n, kind, digest = r["payload_bytes"], r["record_type"], r["payload_digest"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
-    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{_uuid(page_id, digest)}>", f"WARC-Target-URI: {_clean(url)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (n if kind == 'response' else 0)}"]
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{r['record_id']}>", f"WARC-Target-URI: {_clean(r['url'])}", DATE, f"WARC-Payload-Digest: sha1:{digest}"]
+    if r["n_chunks"] == 1:
+        lines.append(_block_digest(http + r["data"]))
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (n if kind == 'response' else 0)}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:uuid:{_uuid(refers_to, digest)}>", f"X-Refers-To-Page: {refers_to}"]
-    if page_id is not None:
-        lines.append(f"X-Page-ID: {page_id}")
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Target-URI: {_clean(r['refers_to_url'])}", f"WARC-Refers-To-{DATE[5:]}", f"X-Refers-To-Page: {r['refers_to']}"]
+        if r["refers_to_id"]:
+            lines.append(f"WARC-Refers-To: <urn:uuid:{r['refers_to_id']}>")
+    if r["page_id"] is not None:
+        lines.append(f"X-Page-ID: {r['page_id']}")
+    return _record(lines) + http
 
 
 def write_warc(chunks: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes chunk rows as .warc.gz files, a gzip member for each record, and returns the manifest (path, n_records).
+    """Writes chunk rows as .warc.gz files and returns the manifest (path, n_records: without the warcinfo record).
+
+    A file is what the standard asks for: a gzip member for each record, one after the other, so that any reader of
+    WARC or of gzip can read all of it, or a record by itself from where it begins.
 
     A record's chunks must stand together in their partition, as chunk_rows leaves them; no record is ever whole in
     Python. Files have new names in each attempt of a task; the manifest, written to folder, has those of attempts
@@ -95,9 +139,11 @@ def write_warc(chunks: DataFrame, folder: str, file_bytes: int = FILE_BYTES) ->
                 if r["chunk_no"] == 0:
                     if out is None:
                         path, n = f"{root}/{part:06d}-{uuid.uuid4().hex}.warc.gz", 0
-                        out = fs.open_output_stream(path)
+                        out = fs.open_output_stream(path, compression=None)  # by its name it would be compressed again
+                        member = zlib.compressobj(1, zlib.DEFLATED, 31)
+                        out.write(member.compress(about(path.rsplit("/", 1)[1])) + member.flush())
                     member = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    out.write(member.compress(heads(r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"])))
+                    out.write(member.compress(heads(r)))
                 out.write(member.compress(r["data"]))
                 if r["chunk_no"] == r["n_chunks"] - 1:
                     out.write(member.compress(b"\r\n\r\n") + member.flush())
@@ -155,10 +201,15 @@ class _Members:
 
 
 def records(raw, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], int, bool, bytes]]:
-    """(headers, chunk_no, is_last, data) of every payload chunk of a .warc.gz stream, at most `chunk` bytes each."""
+    """(headers, chunk_no, is_last, data) of every payload chunk of a .warc.gz stream, at most `chunk` bytes each; no warcinfo records."""
     stream = _Members(raw)
     while head := stream.until(b"\r\n\r\n"):
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        if fields["WARC-Type"] == "warcinfo":
+            left = int(fields["Content-Length"]) + 4
+            while left:
+                left -= len(stream.some(left))
+            continue
         http = stream.until(b"\r\n\r\n")
         fields |= {f"HTTP {k}": v for k, v in (x.split(": ", 1) for x in http.decode().split("\r\n")[1:])}
         left, no = int(fields["Content-Length"]) - len(http) - 4, 0
@@ -178,7 +229,7 @@ def records(raw, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], int, bool
 def read_warc(manifest: DataFrame, folder: str, with_data: bool = True, chunk: int = CHUNK) -> DataFrame:
     """The chunk table of the archives in a manifest: a row for each record and chunk, digests running along.
 
-    page_id, url, record_type, refers_to, chunk_no, is_last, bytes_so_far, digest_so_far (SHA-1 of the chunks so
+    record_id, page_id, url, record_type, refers_to, chunk_no, is_last, bytes_so_far, digest_so_far (SHA-1 of the chunks so
     far), payload_bytes and payload_digest of the full payload as the record states them, and data if wanted. A
     stored payload whose digest isn't as stated raises an error.
     """
@@ -186,7 +237,7 @@ def read_warc(manifest: DataFrame, folder: str, with_data: bool = True, chunk: i
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(folder)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         names = [x.split()[0] for x in _CHUNKS.split(", ")] + ["data"] * with_data
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -195,7 +246,7 @@ def read_warc(manifest: DataFrame, folder: str, with_data: bool = True, chunk: i
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows, held = [], 0
-                with fs.open_input_stream(path, buffer_size=1 << 20) as raw:
+                with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as raw:
                     for f, no, last, data in records(raw, chunk):
                         if no == 0:
                             digest, so_far = hashlib.sha1(usedforsecurity=False), 0
@@ -205,7 +256,7 @@ def read_warc(manifest: DataFrame, folder: str, with_data: bool = True, chunk: i
                         if last and f["WARC-Type"] == "response" and digest.hexdigest() != stated:
                             raise ValueError(f"payload of {f['WARC-Record-ID']} doesn't match its digest")
                         page, refers = f.get("X-Page-ID"), f.get("X-Refers-To-Page")
-                        rows.append((page and int(page), f["WARC-Target-URI"], f["WARC-Type"], refers and int(refers), no, last, so_far, digest.hexdigest(), int(f["HTTP Content-Length"]), stated) + ((data,) if with_data else ()))
+                        rows.append((f["WARC-Record-ID"][10:-1], None if page is None else int(page), f["WARC-Target-URI"], f["WARC-Type"], None if refers is None else int(refers), no, last, so_far, digest.hexdigest(), int(f["HTTP Content-Length"]), stated) + ((data,) if with_data else ()))
                         held += len(data) if with_data else 0
                         if len(rows) >= 2000 or held >= 8 << 20:
                             yield batch(rows)
