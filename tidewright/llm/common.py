@@ -7,19 +7,20 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold on its way to Python; keeps a worker's memory small whatever the texts' lengths.
 ARROW_ROWS = 512
-#: Rows up to which a slim table (at most three numbers or digests a row) may be broadcast: some tens of MB.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes as Spark would hold them, up to which a slim table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -30,13 +31,23 @@ def tune(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, which is set here only where it is unset."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster, whose machines don't share one, it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidewright-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, at: str) -> DataFrame:
@@ -56,13 +67,12 @@ def filesystem(uri: str) -> tuple:
     return fs.FileSystem.from_uri(uri)
 
 
-def drop(uri: str) -> None:
-    """Deletes a folder made by shared_dir, with all in it."""
-    from pyarrow import fs as pafs
-
-    fs, path = filesystem(uri)
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_dir(path)
+def drop(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of shared_dir that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for at in folders:
+        p = path(at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -118,28 +128,75 @@ def text_bytes(array: pa.Array):
     return flat[off[0] : off[-1]], off - off[0]
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
-    """Joins with small broadcast if it has at most BROADCAST_ROWS rows, else by a shuffle that AQE may split.
+def fits(small: DataFrame) -> bool:
+    """Whether a table, which should be a written one, is within the bounds of a broadcast: rows, and 16 bytes a row and
+    8 a column more than its texts and digests hold."""
+    wide = [F.octet_length(F.col(f"`{f.name}`")) for f in small.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    held = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 + 8 * len(small.columns)).cast("long"))
+    n, size = small.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
-    rows: small's row count, where it is known.
-    """
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small.hint("shuffle_hash") if how == "left_semi" else small, on, how)
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
+    """Joins with small (a written table) broadcast if it fits, else by a shuffle that AQE may split."""
+    return big.join(F.broadcast(small) if fits(small) else small.hint("shuffle_hash") if how == "left_semi" else small, on, how)
 
 
-def join_skewed(big: DataFrame, keyed: DataFrame, key: str, size: str, total: int, how: str = "left", small: int = BROADCAST_ROWS) -> DataFrame:
-    """big joined with keyed (one row a key) where few keys may hold most rows of big.
+def join_skewed(big: DataFrame, keyed: DataFrame, key, size: str, total: int, how: str = "left", small: bool = True) -> DataFrame:
+    """big joined with keyed (a written table, one row a key) where few keys may hold most rows of big.
 
-    size names keyed's column with the rows of big per key. Keys with over total / 1000 rows, of which there are
-    fewer than 1000 whatever the data, are broadcast; the rest, none of them large, are shuffled. Up to `small` keys
-    are all broadcast (0: never). Rows of big without a partner stay if how is left.
+    key: a column's name, or several. size names keyed's column with the rows of big per key. Keys with over
+    total / 1000 rows, of which there are fewer than 1000 whatever the data, are broadcast; the rest, none of them
+    large, are shuffled. If keyed fits a broadcast, all of it is sent, unless small is False.
     """
-    if small and keyed.count() <= small:
+    if small and fits(keyed):
         return big.join(F.broadcast(keyed), key, how)
+    keys = [key] if isinstance(key, str) else list(key)
     heavy = keyed.filter(F.col(size) > total / 1000)
-    hot = [c for c in keyed.columns if c != key]
-    near = big.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), key, "left")
+    hot = [c for c in keyed.columns if c not in keys]
+    near = big.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), keys, "left")
     of_heavy = near.filter(F.col("__heavy")).drop("__heavy")
     others = near.filter(F.col("__heavy").isNull()).drop("__heavy", *hot)
     light = keyed.filter(F.col(size) <= total / 1000)
-    return of_heavy.unionByName(others.join(light, key, how))
+    return of_heavy.unionByName(others.join(light, keys, how))
+
+
+def join_wide(big: DataFrame, keyed: DataFrame, key: str, size: str, total: int, spread: str) -> DataFrame:
+    """big inner joined with keyed (a written table, one wide row a key), none of which is broadcast.
+
+    Keys with over total / 1000 rows of big (fewer than 1000, of which key and a number are broadcast) are dealt to as
+    many tasks as they hold such shares, by the hash of big's column `spread`, and keyed's row is copied for each.
+    """
+    per = max(1.0, total / 1000)
+    parts = keyed.filter(F.col(size) > per).select(key, F.ceil(F.col(size) / per).cast("int").alias("__parts"))
+    left = big.join(F.broadcast(parts), key, "left")
+    left = left.withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__parts"))).cast("int")).drop("__parts")
+    copies = F.when(F.col(size) > per, F.ceil(F.col(size) / per).cast("int")).otherwise(1)
+    right = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(size)
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+#: Texts that share the 64-bit key with another; more than these at a time are no chance.
+MOST_CLASHES = 100_000
+
+
+def text_key(text: Column, clashes: list[int]) -> Column:
+    """A text's 64-bit key; texts whose first key is among `clashes` have another one each."""
+    first = F.xxhash64(text)
+    return F.when(first.isin(clashes), F.xxhash64(F.lit("again"), text)).otherwise(first) if clashes else first
+
+
+def settled(make: Callable[[list[int]], DataFrame]) -> list[int]:
+    """The clashes for text_key by which no two different texts share a key.
+
+    make(clashes) writes what is keyed by them and returns its table of texts by v, with first_sha and last_sha, the
+    least and greatest digest of a key's texts. Where they differ, two texts share a key, which happens to about three
+    pairs of 10**10 texts: these get other keys, and make is called again.
+    """
+    clashes: list[int] = []
+    for _ in range(3):
+        more = [r["v"] for r in make(clashes).filter("first_sha <> last_sha").select("v").limit(MOST_CLASHES + 1).collect()]
+        if not more:
+            return clashes
+        clashes = sorted({*clashes, *more})
+    raise ValueError("texts share keys too often")
