@@ -50,6 +50,44 @@ def test_removal_equals_brute_force(spark):
     assert suffix_dedup.without_repeats(df.limit(0)).collect() == []
 
 
+def test_removal_around_a_hot_anchor(spark, monkeypatch):
+    """Many contexts of the same bytes, alike for longer or shorter on either side, some of whole ranges."""
+    rng = random.Random(9)
+    gram = "".join(rng.choice("xyz") for _ in range(60))
+    lefts = ["".join(rng.choice("ab") for _ in range(170)) for _ in range(6)]
+    rights = ["".join(rng.choice("cd") for _ in range(170)) for _ in range(6)]
+    rows = []
+    for k in range(160):
+        one, two = rng.choice(lefts), rng.choice(rights)
+        cut, until = rng.choice([0, 20, 60, 100, 140, 170]), rng.choice([0, 3, 20, 60, 100, 140, 170])
+        rows.append((k, f"{k:03d}" + "".join(rng.choice("ef") for _ in range(cut)) + one[cut:] + gram + two[:until] + "".join(rng.choice("gh") for _ in range(170 - until))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_removal(rows)
+    assert 0 < sum(r[2] > 0 for r in want) < len(rows)
+    for most in (3, 12):
+        monkeypatch.setattr(suffix_dedup, "SORTED_ROWS", most)
+        assert sorted(map(tuple, suffix_dedup.without_repeats(df, most_contexts=most).collect()), key=str) == want
+
+
+def test_texts_that_share_a_key(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidewright.llm import common
+
+    def weak(text, clashes):
+        first = F.pmod(F.xxhash64(text), F.lit(50))
+        return F.when(first.isin(clashes), F.xxhash64(F.lit("again"), text)).otherwise(first) if clashes else first
+
+    monkeypatch.setattr(suffix_dedup, "text_key", weak)
+    monkeypatch.setattr(near_dedup, "text_key", weak)
+    rows = passages(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.without_repeats(df).collect()), key=str) == plain_removal([(d, t or "") for d, t in rows])
+    want, _ = classes([(d, t or "") for d, t in rows])
+    assert sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.near_classes(df).collect()), key=str) == want
+    assert common.settled(lambda c: df.select(F.lit(1).cast("long").alias("v"), F.lit(1).alias("low"), F.lit(1).alias("high"))) == []
+
+
 def test_removal_on_the_table(spark, sf_dir):
     df = documents(spark, sf_dir, 120)
     assert sorted(map(tuple, suffix_dedup.without_repeats(df).collect()), key=str) == plain_removal(rows_of(df))
@@ -67,19 +105,17 @@ def test_long_texts_have_the_same_anchors(monkeypatch):
     assert rows() == whole
 
 
-def test_blind_tries_sort():
+def test_deep_shallow_sort():
     rng = random.Random(2)
-    strings = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(300)]
-    trie = suffix_dedup.BlindTrie()
-    for k, s in enumerate(strings):
-        trie.add(s, k)
-    found: dict[bytes, list[int]] = {}
-    for depth, numbers in trie.intervals():  # strings that end at a node's depth are a leaf of their own below it
-        found[strings[numbers[0]][:depth]] = sorted(numbers)
-    for shared, numbers in found.items():
-        assert [k for k, s in enumerate(strings) if s.startswith(shared)] == numbers
-    groups = suffix_dedup.shallow_sort([s.ljust(16, b"z") for s in strings], 16)
-    assert [strings[k].ljust(16, b"z") for g in groups for k in g] == sorted(s.ljust(16, b"z") for s in strings)
+    strings = list(dict.fromkeys("".join(rng.choice("ab\0") for _ in range(rng.randint(0, 90))).encode() * rng.choice([1, 1, 2]) for _ in range(400)))
+    strings += strings[:20]
+    order, lcp = suffix_dedup.deep_shallow(strings)
+    assert [strings[k] for k in order] == sorted(strings)
+    for (a, b), shared in zip(zip(order, order[1:], strict=False), lcp[1:], strict=True):
+        x, y = strings[a], strings[b]
+        n = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+        assert shared == n
+    assert any(len(g) > 1 for g in suffix_dedup.shallow_sort([s.ljust(80, b"z") for s in strings]))
 
 
 def test_signatures_estimate_weighted_resemblance():

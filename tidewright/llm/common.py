@@ -186,16 +186,22 @@ def text_key(text: Column, clashes: list[int]) -> Column:
     return F.when(first.isin(clashes), F.xxhash64(F.lit("again"), text)).otherwise(first) if clashes else first
 
 
+def check_key(sha256: Column) -> Column:
+    """60 bits of a text's SHA-256 (hexadecimal), which tell texts of one key apart."""
+    return F.conv(F.substring(sha256, 1, 15), 16, 10).cast("long")
+
+
 def settled(make: Callable[[list[int]], DataFrame]) -> list[int]:
     """The clashes for text_key by which no two different texts share a key.
 
-    make(clashes) writes what is keyed by them and returns its table of texts by v, with first_sha and last_sha, the
-    least and greatest digest of a key's texts. Where they differ, two texts share a key, which happens to about three
-    pairs of 10**10 texts: these get other keys, and make is called again.
+    make(clashes) writes what is keyed by them and returns its table of texts by v, with low and high, the least and
+    greatest check_key of a key's texts. Where they differ, two texts share a key, which happens to about three pairs
+    of 10**10 texts: these get other keys, and make is called again. That two texts share key and check_key, 124 bits,
+    is left to chance.
     """
     clashes: list[int] = []
     for _ in range(3):
-        more = [r["v"] for r in make(clashes).filter("first_sha <> last_sha").select("v").limit(MOST_CLASHES + 1).collect()]
+        more = [r["v"] for r in make(clashes).filter("low <> high").select("v").limit(MOST_CLASHES + 1).collect()]
         if not more:
             return clashes
         clashes = sorted({*clashes, *more})

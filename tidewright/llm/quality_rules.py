@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewright.llm.common import blocks, text_bytes, texts, tune
-from tidewright.llm.words import chunked, mix, ragged, sums
+from tidewright.llm.words import chunked, lcp_intervals, mix, ragged, sums
 
 #: Words of the shortest repeat that counts.
 LEAST = 5
@@ -153,26 +153,6 @@ def common_prefixes(codes: np.ndarray, ends: np.ndarray, order: np.ndarray, owne
     return found[order]
 
 
-def lcp_intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, words) of the intervals of the suffix order whose suffixes share `least` words or more, at most that.
-
-    lcp[k]: what suffix k shares with the one before it; below `least` between documents. A stack holds the open
-    intervals, each within the one below; an interval is closed where less is shared.
-    """
-    first, last, words = [], [], []
-    stack: list[tuple[int, int]] = []  # (words, first)
-    for k, shared in enumerate([*lcp.tolist()[1:], 0], 1):
-        begin = k - 1
-        while stack and stack[-1][0] > shared:
-            n, begin = stack.pop()
-            first.append(begin)
-            last.append(k - 1)
-            words.append(n)
-        if shared >= least and (not stack or stack[-1][0] < shared):
-            stack.append((shared, begin))
-    return tuple(np.array(x, np.int64) for x in (first, last, words))
-
-
 def repeats(codes: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(covered, longest, counts) by the maximal repeats of each document.
 
@@ -192,7 +172,7 @@ def repeats(codes: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.
         return covered, longest, found
     order = suffix_order(codes, ends, at, owner, least)
     lcp = common_prefixes(codes, ends, order, owner, at)
-    first, last, words = lcp_intervals(lcp, least)
+    first, last, words = lcp_intervals(lcp.tolist(), least)
     if not len(first):
         return covered, longest, found
     # what stands before each suffix; a document's start is like nothing else

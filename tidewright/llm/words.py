@@ -51,3 +51,23 @@ def mix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def lcp_intervals(lcp: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, shared) of the intervals of an order of suffixes that share `least` symbols or more, inner ones first.
+
+    lcp[k]: what suffix k shares with the one before it. A stack holds the open intervals, each within the one below;
+    an interval is closed where less is shared.
+    """
+    first, last, length = [], [], []
+    stack: list[tuple[int, int]] = []  # (shared, first)
+    for k, shared in enumerate([*lcp[1:], 0], 1):
+        begin = k - 1
+        while stack and stack[-1][0] > shared:
+            n, begin = stack.pop()
+            first.append(begin)
+            last.append(k - 1)
+            length.append(n)
+        if shared >= least and (not stack or stack[-1][0] < shared):
+            stack.append((shared, begin))
+    return tuple(np.array(x, np.int64) for x in (first, last, length))
