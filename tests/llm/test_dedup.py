@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from tests.llm.cases import documents, grams, rows_of
+from tests.llm.cases import WORD, documents, rows_of
 from tidewright.llm import dartminhash, near_dedup, suffix_dedup
 
 
@@ -128,6 +128,16 @@ def test_signatures_estimate_weighted_resemblance():
     assert not (dartminhash.signatures(x[:0], a[:0], np.array([0, 0]), 10)).any()
 
 
+def counted(text):
+    w = WORD.findall(text)
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (Counter([tuple(w)]) if w else Counter())
+
+
+def alike(a, b, least=0.8):
+    common = sum((a & b).values())
+    return bool(common) and common >= least * (sum(a.values()) + sum(b.values()) - common)
+
+
 def classes(rows):
     parent = list(range(len(rows)))
 
@@ -136,10 +146,10 @@ def classes(rows):
             k = parent[k]
         return k
 
-    sets = [grams(t) for _, t in rows]
+    sets = [counted(t) for _, t in rows]
     for a in range(len(rows)):
         for b in range(a):
-            if rows[a][1] == rows[b][1] or (sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+            if rows[a][1] == rows[b][1] or alike(sets[a], sets[b]):
                 parent[find(a)] = find(b)
     ids: dict[int, list] = {}
     for k, (d, _) in enumerate(rows):
@@ -147,17 +157,23 @@ def classes(rows):
     return sorted(((d, min((x for x in ids[find(k)] if x is not None), default=None)) for k, (d, _) in enumerate(rows)), key=str), ids
 
 
-def test_near_classes_equal_brute_force(spark, sf_dir):
-    df = documents(spark, sf_dir)
-    rng = random.Random(4)
+def edited(seed: int, first_id: int, schema_row=lambda d, t: (d, t, "en", "s", 1, "k", 1, "v", "l")):
+    """Versions of a text, of a text with a line that repeats, and one text twice over."""
+    rng = random.Random(seed)
     base = [f"t{k}" for k in range(70)]
-    extra = []
-    for i in range(40):
-        w = list(base)
+    lines = [f"u{k}" for k in range(30)] + "again and again the same line".split() * 9
+    out = []
+    for i in range(60):
+        w = list(base if i < 40 else lines)
         for _ in range(rng.randint(0, 4)):
-            w[rng.randrange(70)] = f"x{rng.randrange(999)}"
-        extra.append((9100 + i, " ".join(w), "en", "s", 1, "k", 1, "v", "l"))
-    df = df.union(spark.createDataFrame(extra, df.schema))
+            w[rng.randrange(len(w))] = f"x{rng.randrange(999)}"
+        out.append(schema_row(first_id + i, " ".join(w)))
+    return [*out, schema_row(first_id + 60, " ".join(base * 2)), schema_row(first_id + 61, " ".join(lines[:84]))]
+
+
+def test_near_classes_equal_brute_force(spark, sf_dir):
+    df = documents(spark, sf_dir)
+    df = df.union(spark.createDataFrame(edited(4, 9100), df.schema))
     want, groups = classes(rows_of(df))
     got = near_dedup.near_classes(df).collect()
     assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=str) == want
@@ -165,6 +181,40 @@ def test_near_classes_equal_brute_force(spark, sf_dir):
     assert kept.columns == df.columns
     assert kept.count() == len(groups)
     assert near_dedup.near_classes(df.limit(0)).collect() == []
+    assert near_dedup.one_of_each(df.limit(0)).collect() == []
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(2, "the same text of some words here", "a", "b"), (1, "the same text of some words here", "c", "d"), (None, "the same text of some words here", "e", "f"), (3, "another", "g", "h"), (None, None, "i", "j"), (4, "", "k", "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __v string, __label string")
+    assert sorted(map(tuple, near_dedup.one_of_each(df).collect())) == [(1, rows[1][1], "c", "d"), (3, "another", "g", "h"), (4, "", "k", "l")]
+
+
+def test_prefix_pairs_of_hot_groups(spark, monkeypatch):
+    """Texts made of shared passages: every first element is common, and groups must be parted."""
+    from tidewright.llm.common import shared_dir
+
+    rng = random.Random(3)
+    passages_ = [[f"p{k}.{i}" for i in range(20)] for k in range(8)]
+    texts = []
+    for _ in range(150):
+        chosen = sorted(rng.sample(range(8), rng.choice([5, 6])))
+        texts.append(" ".join(w for k in chosen for w in passages_[k]) + " " + " ".join(f"own{rng.randrange(9)}" for _ in range(rng.choice([0, 2, 4]))))
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "v long, text string")
+    sets = near_dedup.shingle_sets(df)
+    found = {r["v"]: set(r["set"]) for r in sets.collect()}
+    counts = [counted(t) for t in texts]
+    assert all(len(found[k]) == sum(counts[k].values()) for k in found)
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if alike(counts[a], counts[b])}
+    assert len(want) > 20
+    for most in (1, 3, 200):
+        monkeypatch.setattr(near_dedup, "MOST_ACTIVE", most)
+        folder = shared_dir(spark)
+        sets_ = near_dedup.written(sets, f"{folder}/sets")
+        pairs = near_dedup.written(near_dedup.prefix_pairs(sets_.selectExpr("v", "v as c"), sets_, folder), f"{folder}/pairs")
+        got = {(min(r), max(r)) for r in map(tuple, near_dedup.linked(pairs, sets_, f"{folder}/linked").collect())}
+        assert got == want
 
 
 def test_components_of_a_chain(spark):

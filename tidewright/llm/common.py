@@ -161,18 +161,18 @@ def join_skewed(big: DataFrame, keyed: DataFrame, key, size: str, total: int, ho
     return of_heavy.unionByName(others.join(light, keys, how))
 
 
-def join_wide(big: DataFrame, keyed: DataFrame, key: str, size: str, total: int, spread: str) -> DataFrame:
-    """big inner joined with keyed (a written table, one wide row a key), none of which is broadcast.
+def join_wide(big: DataFrame, keyed: DataFrame, counts: DataFrame, key: str, size: str, total: int, spread: str) -> DataFrame:
+    """big inner joined with keyed (one wide row a key), none of which is broadcast, where few keys may hold most rows of big.
 
-    Keys with over total / 1000 rows of big (fewer than 1000, of which key and a number are broadcast) are dealt to as
-    many tasks as they hold such shares, by the hash of big's column `spread`, and keyed's row is copied for each.
+    counts (a written table): key and its rows of big, in the column `size`. Keys with over total / 1000 rows, fewer
+    than 1000, are dealt to as many tasks as they hold such shares, by the hash of big's column `spread`, and keyed's
+    row is copied for each; of these keys, key and a number are broadcast.
     """
     per = max(1.0, total / 1000)
-    parts = keyed.filter(F.col(size) > per).select(key, F.ceil(F.col(size) / per).cast("int").alias("__parts"))
-    left = big.join(F.broadcast(parts), key, "left")
-    left = left.withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__parts"))).cast("int")).drop("__parts")
-    copies = F.when(F.col(size) > per, F.ceil(F.col(size) / per).cast("int")).otherwise(1)
-    right = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(size)
+    parts = F.broadcast(counts.filter(F.col(size) > per).select(key, F.ceil(F.col(size) / per).cast("int").alias("__parts")))
+    salt = F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")
+    left = big.join(parts, key, "left").withColumn("__salt", salt).drop("__parts")
+    right = keyed.join(parts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 

@@ -1,4 +1,8 @@
-"""Near-duplicate classes: DartMinHash signatures, banded candidates, exact verification, connected components."""
+"""Near-duplicate classes: DartMinHash signatures, banded candidates, exact verification, connected components.
+
+The five-word shingles of a text weigh as often as they occur. Two texts resemble each other by the sum of their
+shingles' lesser counts over the sum of the greater ones.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import blocks, join_skewed, join_small, shared_dir, texts, tune, written
-from tidewright.llm.dartminhash import all_shingles, band_keys, shingles, signatures
+from tidewright.llm.common import blocks, check_key, drop, join_skewed, join_small, join_wide, settled, shared_dir, text_key, texts, tune, written
+from tidewright.llm.dartminhash import band_keys, numbered, shingles, signatures
 
 #: Words of a shingle, least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -18,50 +22,51 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Text bytes whose darts are thrown at a time.
 BLOCK = 1 << 19
+#: Texts of a group of prefix_pairs that are compared with all others of it; groups with more are parted, so many times at most.
+MOST_ACTIVE, MOST_LEVELS = 200, 8
 
 
-def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id, v (hash of the text), bands for each of docs. Documents without words have no bands.
-
-    weighted: shingles weigh as often as they occur; else all weigh 1, and resemblance is that of shingle sets.
-    """
+def signed(docs: DataFrame, clashes: list[int]) -> DataFrame:
+    """doc_id, v (key of the text), check, bands for each of docs. Documents without words have no bands."""
     tune(docs.sparkSession)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("v"))
+    rows = docs.select("doc_id", text.alias("text"), text_key(text, clashes).alias("v"), check_key(F.sha2(text, 256)).alias("check"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 1, BLOCK):
-            if weighted:
-                elements, times, off = shingles(texts(block.column(1)), WORDS)
-            else:  # a shingle that occurs again throws the same darts again
-                elements, off = all_shingles(texts(block.column(1)), WORDS)
-                times = np.ones(len(elements))
+            elements, times, off = shingles(texts(block.column(1)), WORDS)
             sig = signatures(elements, times.astype(np.float64), off, BANDS * ROWS)
             keys = band_keys(sig, BANDS, ROWS)
             there = np.diff(off) > 0
             ends = np.concatenate([[0], np.cumsum(there * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[there].ravel()))
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), bands], ["doc_id", "v", "bands"])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), block.column(3), bands], ["doc_id", "v", "check", "bands"])
 
-    return rows.mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, v long, bands array<long>")
+    return rows.mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, v long, check long, bands array<long>")
 
 
 def shingle_sets(texts_: DataFrame) -> DataFrame:
-    """v, set: the distinct shingle hashes of each text."""
+    """v, set: a hash for each numbered occurrence of each shingle of each text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 1, BLOCK):
-            elements, _, off = shingles(texts(block.column(1)), WORDS)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(elements.astype(np.int64)))], ["v", "set"])
+            elements, times, off = shingles(texts(block.column(1)), WORDS)
+            ends = np.concatenate([[0], np.cumsum(times)])[off].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(numbered(elements, times).astype(np.int64)))], ["v", "set"])
 
     return texts_.select("v", "text").mapInArrow(cut, "v long, set array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (v, w) whose shingle sets' resemblance is at least `similarity`."""
+def linked(pairs: DataFrame, sets: DataFrame, folder: str, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (v, w; a written table) whose sets resemble by at least `similarity`.
+
+    The set of w, which should be in few pairs, goes with each of them; that of v, which may be in most, is copied to
+    the tasks that a thousandth of all pairs makes, not to every pair.
+    """
+    per = written(pairs.groupBy("v").agg(F.count("*").alias("n")), f"{folder}/per")
+    total = pairs.count()
     one, two = sets.select("v", F.col("set").alias("one")), sets.select(F.col("v").alias("w"), F.col("set").alias("two"))
-    both = F.size(F.array_intersect("one", "two"))
-    out = pairs.join(one, "v").join(two, "w").withColumn("common", both)
+    out = join_wide(pairs.join(two, "w"), one, per, "v", "n", total, "w").withColumn("common", F.size(F.array_intersect("one", "two")))
     return out.filter(F.col("common") >= similarity * (F.size("one") + F.size("two") - F.col("common"))).select("v", "w")
 
 
@@ -90,91 +95,152 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         mark = now
 
 
-def prefix_pairs(texts_: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def prefix_pairs(apart: DataFrame, sets: DataFrame, folder: str, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (v, w) of texts of different components that may resemble by `similarity`; it leaves out no pair that does.
 
-    texts_: v, c (component), set. Two sets of sizes n and m that resemble enough share at least
-    o = t / (1 + t) * (n + m) shingles, so, in any fixed order, one of the first n - o + 1 of the one is among the first
-    m - o + 1 of the other. The order is by how many texts have a shingle: the first ones are rare, and what a large
-    group has in common hardly ever makes a pair.
+    apart: v, c (component). Two sets of sizes n and m that resemble enough share at least o = t / (1 + t) * (n + m)
+    elements, so, in any fixed order, one of the first n - o + 1 of the one is among the first m - o + 1 of the other;
+    for the smaller set these are at most the first n - 2t / (1 + t) * n + 1, where it is said to be active. The order is
+    by how many texts have an element, so that what large groups have in common hardly ever makes a pair.
+
+    Texts with one of their first elements in common are a group. A group's active texts are compared with all of it
+    if they are at most MOST_ACTIVE, so pairs grow with the texts. A group with more is parted in the same way by itself,
+    in the order of what is rare within the group. Groups of the same texts are one, by the first of their elements in
+    the order, where all their texts have the least place. A group that cannot be parted any
+    more, or was MOST_LEVELS times, is compared all the same: there, all active texts have so much in common that they
+    resemble one another, and their components are mostly one.
     """
-    each = texts_.select("v", "c", F.size("set").alias("n"), F.explode("set").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("texts"))
-    place = F.row_number().over(Window.partitionBy("v").orderBy("texts", "s")) - 1
-    first = each.join(often, "s").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)).filter("texts > 1").drop("texts")
-    x, y = first.alias("x"), first.alias("y")
-    o = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    near = (F.col("x.place") <= F.col("x.n") - o) & (F.col("y.place") <= F.col("y.n") - o)
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.c") < F.col("y.c")) & near)
-    return pairs.select(F.col("x.v").alias("v"), F.col("y.v").alias("w")).distinct()
-
-
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+    out = None
+    members = apart.select(F.lit(0).cast("long").alias("g"), "v", "c", F.lit(-1).cast("long").alias("of"))
+    for level in range(MOST_LEVELS):
+        at = f"{folder}/{level}"
+        each = members.join(sets, "v").select("g", "v", "c", "of", F.size("set").alias("n"), F.explode("set").alias("s"))
+        often = written(each.groupBy("g", "s").agg(F.count("*").alias("texts")).filter("texts > 1"), f"{at}/often")
+        total = often.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+        shared = join_skewed(each, often, ["g", "s"], "texts", total, "inner", small=False)
+        # elements of one text only come first in its order, and need no rows
+        whole, order = Window.partitionBy("g", "v"), Window.partitionBy("g", "v").orderBy("texts", "s")
+        first = shared.withColumn("place", F.col("n") - F.count("*").over(whole) + F.row_number().over(order) - 1).filter(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9))
+        active = F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9)
+        first = written(first.select("g", "v", "c", "of", "n", "s", "texts", "place", active.alias("active")), f"{at}/first")
+        groups = first.groupBy("g", "s").agg(
+            F.count("*").alias("m"), F.count_if("active").alias("actives"), F.first("texts").alias("texts"), F.first("of").alias("of"), F.min("c").alias("c1"), F.max("c").alias("c2"),
+            F.bit_xor(F.xxhash64("v")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("again"), "v")).alias("x2"),
+        )
+        groups = groups.filter("actives > 0 and c1 <> c2").groupBy("g", "m", "x1", "x2").agg(F.min(F.struct("texts", "s", "actives")).alias("r"), F.first("of").alias("of"))
+        large = (F.col("r.actives") > MOST_ACTIVE) & (F.col("of") != F.col("m")) & F.lit(level + 1 < MOST_LEVELS)
+        groups = written(groups.select("g", F.col("r.s").alias("s"), "m", large.alias("large")), f"{at}/groups")
+        total = groups.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        rows = join_skewed(first.drop("of", "texts"), groups, ["g", "s"], "m", total, "inner", small=False)
+        few = rows.filter("not large")
+        actives = few.filter("active").groupBy("g", "s", "m").agg(F.collect_list(F.struct("v", "c", "n", "place")).alias("x"))
+        met = join_skewed(few.drop("active", "m"), written(actives, f"{at}/actives"), ["g", "s"], "m", total, "inner", small=False).withColumn("x", F.explode("x"))
+        o = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("x.n")) - 1e-9)
+        near = (F.col("x.n") <= F.col("n")) & (F.col("x.c") != F.col("c")) & (F.col("place") <= F.col("n") - o) & (F.col("x.place") <= F.col("x.n") - o)
+        pairs = written(met.filter(near).select("v", F.col("x.v").alias("w")).distinct(), f"{at}/pairs")
+        out = pairs if out is None else out.union(pairs)
+        if not groups.filter("large").head(1):
+            break
+        members = written(rows.filter("large").select(F.xxhash64("g", "s").alias("g"), "v", "c", F.col("m").alias("of")), f"{at}/members")
+    return out.select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct()
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, v, class_id, label, class_texts: one row for each of docs, with its class of near duplicates.
 
-    Links join texts whose five-word shingle sets resemble by at least `similarity`; classes are their components,
-    class_id the least doc_id in the class (null if all are null), class_texts its distinct texts. Copies share v, a
-    64-bit hash of the text, and enter once. Candidates share one of BANDS bands of a DartMinHash signature:
+    Links join texts whose weighted five-word shingles resemble by at least `similarity`; classes are their components,
+    class_id the least doc_id in the class (null if all are null), class_texts its distinct texts, label the least key
+    of them. Copies share v, a key that no other text has (text_key), and enter once. Candidates share one of BANDS
+    bands of a DartMinHash signature:
 
     1. in each band, every text is compared with the one that shares most bands with others (pairs grow with the texts,
        not their squares);
-    2. links found so make components; texts of bands that still hold several of them are joined by rare shingles
+    2. links found so make components; texts of bands that still hold several of them are joined by rare elements
        (prefix_pairs), which finds every link between different components: no link within a band is lost.
 
-    A text without words is the like of its copies only. Nulls count as empty texts. Repeated rows are copies. Other
-    columns are ignored. Of the corpus, only counts come to the driver.
+    A text without words is the like of its copies only. Nulls count as empty texts; texts are taken some hundred kB at
+    a time, a longer one by itself. Repeated rows are copies; null ids are the least of no class that has another. An
+    empty table gives no rows. Other columns are ignored. Of the corpus, only counts come to the driver.
     """
+    return _classes(docs, similarity)[0]
+
+
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, list[int]]:
+    """(near_classes, the clashes by which its keys are distinct)."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    slim = written(signed(docs, weighted), f"{folder}/signed")
+    made: dict[str, DataFrame] = {}
+
+    def keyed(clashes: list[int]) -> DataFrame:
+        slim = made["slim"] = written(signed(docs, clashes), f"{folder}/signed")
+        verts = slim.groupBy("v").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        made["verts"] = written(verts, f"{folder}/work/texts")
+        return made["verts"]
+
+    clashes = settled(keyed)
+    slim, verts, work = made["slim"], made["verts"], f"{folder}/work"
     n_docs = slim.count()
-    verts = written(slim.groupBy("v").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), F.count("*").alias("n")), f"{folder}/texts")
     banded = verts.select(F.explode("bands").alias("key"), "v")
-    shared = written(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), f"{folder}/bands")
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), f"{work}/bands")
     n_rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = written(join_skewed(banded, shared, "key", "n", n_rows, "inner"), f"{folder}/shared")
-    known = members.groupBy("v").agg(F.sum("n").alias("known"))
+    members = written(join_skewed(banded, shared, "key", "n", n_rows, "inner"), f"{work}/shared")
+    known = written(members.groupBy("v").agg(F.sum("n").alias("known")), f"{work}/known")
     heads = join_small(members, known, "v", "inner").groupBy("key").agg(F.max(F.struct("known", "v")).alias("h"), F.count("*").alias("n"))
-    heads = written(heads.select("key", F.col("h.v").alias("head"), "n"), f"{folder}/heads")
-    members = written(join_skewed(members.drop("n"), heads, "key", "n", n_rows, "inner").drop("n"), f"{folder}/members")
-    pairs = members.filter("v <> head").select(F.least("v", "head").alias("v"), F.greatest("v", "head").alias("w")).distinct()
-    some = members.select("v").distinct()
+    heads = written(heads.select("key", F.col("h.v").alias("head"), "n"), f"{work}/heads")
+    members = written(join_skewed(members.drop("n"), heads, "key", "n", n_rows, "inner").drop("n"), f"{work}/members")
+    drop(spark, f"{work}/shared", f"{work}/bands")
+    pairs = written(members.filter("v <> head").select(F.col("head").alias("v"), F.col("v").alias("w")).distinct(), f"{work}/pairs")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    of_some = join_small(docs.select(F.xxhash64(text).alias("v"), text.alias("text")), some, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text"))
-    sets = written(shingle_sets(of_some), f"{folder}/sets")
-    links = written(linked(pairs, sets, similarity), f"{folder}/links1")
-    found = written(components(links, f"{folder}/first"), f"{folder}/found1")
+    of_some = join_small(docs.select(text_key(text, clashes).alias("v"), text.alias("text")), known.select("v"), "v", "left_semi").groupBy("v").agg(F.first("text").alias("text"))
+    sets = written(shingle_sets(of_some), f"{work}/sets")
+    links = written(linked(pairs, sets, f"{work}/one", similarity), f"{work}/links1")
+    found = written(components(links, f"{work}/first"), f"{work}/found1")
     # what the comparisons with the heads left apart within a band
     labelled = join_small(members, found, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    apart = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key")
-    apart = written(join_small(labelled, apart, "key", "left_semi").select("v", "c").distinct(), f"{folder}/apart")
-    more = written(linked(prefix_pairs(sets.join(apart, "v"), similarity), sets, similarity), f"{folder}/links2")
+    apart = written(labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).filter("c1 <> c2").select("key", "n"), f"{work}/bands2")
+    total = apart.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    apart = written(join_skewed(labelled, apart, "key", "n", total, "inner").select("v", "c").distinct(), f"{work}/apart")
+    pairs = written(prefix_pairs(apart, sets, f"{work}/prefix", similarity), f"{work}/pairs2")
+    more = written(linked(pairs, sets, f"{work}/two", similarity), f"{work}/links2")
     if more.head(1):
-        found = written(components(found.filter("v <> c").select("v", F.col("c").alias("w")).union(more), f"{folder}/second"), f"{folder}/found2")
+        found = written(components(found.filter("v <> c").select("v", F.col("c").alias("w")).union(more), f"{work}/second"), f"{work}/found2")
     # a class has several texts or a text several rows; all others are their own
     classes = verts.select("v", "least_id", "n").join(found, "v", "left").withColumn("label", F.coalesce("c", "v")).drop("c")
     of_class = classes.groupBy("label").agg(F.min("least_id").alias("class_id"), F.count("*").alias("class_texts"), F.sum("n").alias("rows"))
-    several = of_class.filter("rows > 1")
-    keyed = written(classes.join(several, "label").select("v", "n", "label", "class_id", "class_texts"), f"{folder}/classes")
-    out = join_skewed(slim.select("doc_id", "v"), keyed, "v", "n", n_docs)
+    several = written(of_class.filter("rows > 1"), f"{work}/several")
+    n_texts = several.agg(F.coalesce(F.sum("class_texts"), F.lit(0))).first()[0]
+    in_class = written(join_skewed(classes, several, "label", "class_texts", n_texts, "inner").select("v", "n", "label", "class_id", "class_texts"), f"{folder}/classes")
+    drop(spark, work)
+    out = join_skewed(slim.select("doc_id", "v"), in_class, "v", "n", n_docs)
     alone = F.col("label").isNull()
-    return out.select("doc_id", "v", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("label", "v").alias("label"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
+    out = out.select("doc_id", "v", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("label", "v").alias("label"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
+    return out, clashes
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, without those that near_classes puts in a class with an earlier one.
 
-    Of each class, the row with the least doc_id stays (null ids last; then the least hash of the text; of repeated
+    Of each class, the row with the least doc_id stays (null ids last; then the least key of the text; of repeated
     rows one). Only rows of classes of several are shuffled with their texts, and each task passes on one row a class.
+    Null, empty and long texts are as in near_classes; an empty table stays empty; columns may have any names.
     """
-    classes = written(near_classes(docs, similarity), f"{shared_dir(docs.sparkSession)}/near")
-    # the label of every text that isn't alone: one row a text
+    spark = docs.sparkSession
+    folder = shared_dir(spark)
+    classes, clashes = _classes(docs, similarity)
+    classes = written(classes, f"{folder}/near")
+    # the key and label of every text that isn't alone: one row a text
     per_text = classes.groupBy("v").agg(F.first("label").alias("label"), F.count("*").alias("n"))
-    per_class = per_text.groupBy("label").agg(F.sum("n").alias("rows"))
-    labels = per_text.join(per_class.filter("rows > 1").select("label"), "label").select(F.col("v").alias("__v"), F.col("label").alias("__label"), F.col("n").alias("__n"))
-    rows = docs.withColumn("__v", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    both = join_skewed(rows, written(labels, f"{shared_dir(docs.sparkSession)}/labels"), "__v", "__n", classes.count())
-    several = both.filter(F.col("__label").isNotNull())
-    first = Window.partitionBy("__label").orderBy(F.col("doc_id").asc_nulls_last(), "__v")
-    several = several.withColumn("__r", F.row_number().over(first)).filter("__r = 1")
-    return both.filter(F.col("__label").isNull()).select(*docs.columns).union(several.select(*docs.columns))
+    per_class = written(per_text.groupBy("label").agg(F.sum("n").alias("rows"), F.count("*").alias("texts")).filter("rows > 1"), f"{folder}/per")
+    n_texts = per_class.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+    labels = written(join_skewed(per_text, per_class, "label", "texts", n_texts, "inner").select("v", "label", "n"), f"{folder}/labels")
+    n = classes.count()
+    drop(spark, f"{folder}/per")
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    named = dict(zip(docs.columns, own, strict=True))
+    text = F.coalesce(F.col(named["text"]).cast("string"), F.lit(""))
+    rows = docs.toDF(*own).withColumn("v", text_key(text, clashes))
+    both = join_skewed(rows, labels, "v", "n", n)
+    several = both.filter(F.col("label").isNotNull())
+    first = Window.partitionBy("label").orderBy(F.col(named["doc_id"]).asc_nulls_last(), "v")
+    several = several.withColumn("r", F.row_number().over(first)).filter("r = 1")
+    return both.filter(F.col("label").isNull()).select(*own).union(several.select(*own)).toDF(*docs.columns)
