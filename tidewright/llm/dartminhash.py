@@ -67,14 +67,6 @@ def shingles(array: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return s[first], times, np.searchsorted(doc[first], np.arange(len(off)))
 
 
-def numbered(elements: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """A hash for each occurrence of each element, by its number: the sets of these resemble one another as the weighted
-    sets do, by the sum of least counts over the sum of greatest."""
-    number = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-    with np.errstate(over="ignore"):
-        return np.where(number == 0, np.repeat(elements, times), mix(np.repeat(elements, times) + number.astype(np.uint64) * _C[2]))
-
-
 def signatures(elements: np.ndarray, weights: np.ndarray, off: np.ndarray, t: int) -> np.ndarray:
     """Signatures of t coordinates for weighted sets; a row of zeros for an empty one.
 

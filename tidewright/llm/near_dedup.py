@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import blocks, check_key, drop, join_skewed, join_small, join_wide, settled, shared_dir, text_key, texts, tune, written
-from tidewright.llm.dartminhash import band_keys, numbered, shingles, signatures
+from tidewright.llm.dartminhash import band_keys, shingles, signatures
+from tidewright.llm.words import sums
 
 #: Words of a shingle, least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -46,28 +47,38 @@ def signed(docs: DataFrame, clashes: list[int]) -> DataFrame:
 
 
 def shingle_sets(texts_: DataFrame) -> DataFrame:
-    """v, set: a hash for each numbered occurrence of each shingle of each text."""
+    """v, set, times, n: each text's distinct shingle hashes, how often each occurs, and how many there are in all."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 1, BLOCK):
             elements, times, off = shingles(texts(block.column(1)), WORDS)
-            ends = np.concatenate([[0], np.cumsum(times)])[off].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(numbered(elements, times).astype(np.int64)))], ["v", "set"])
+            ends = pa.array(off.astype(np.int32))
+            sets, counts = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (elements.astype(np.int64), times.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([block.column(0), sets, counts, pa.array(sums(times, off))], ["v", "set", "times", "n"])
 
-    return texts_.select("v", "text").mapInArrow(cut, "v long, set array<long>")
+    return texts_.select("v", "text").mapInArrow(cut, "v long, set array<long>, times array<int>, n long")
+
+
+def _occurrences(of: str) -> Column:
+    """A hash for each numbered occurrence of each element: what two texts have in common of these is the sum of lesser counts."""
+    again = lambda x: F.transform(F.sequence(F.lit(2), x["times"]), lambda k: F.xxhash64(x["set"], k))
+    more = F.flatten(F.transform(F.filter(F.arrays_zip(F.col(f"{of}.set"), F.col(f"{of}.times")), lambda x: x["times"] > 1), again))
+    return F.when(F.size(f"{of}.set") == F.col(f"{of}.n"), F.col(f"{of}.set")).otherwise(F.concat(F.col(f"{of}.set"), more))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, folder: str, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (v, w; a written table) whose sets resemble by at least `similarity`.
+    """The pairs (v, w; a written table) whose weighted sets resemble by at least `similarity`.
 
     The set of w, which should be in few pairs, goes with each of them; that of v, which may be in most, is copied to
     the tasks that a thousandth of all pairs makes, not to every pair.
     """
     per = written(pairs.groupBy("v").agg(F.count("*").alias("n")), f"{folder}/per")
     total = pairs.count()
-    one, two = sets.select("v", F.col("set").alias("one")), sets.select(F.col("v").alias("w"), F.col("set").alias("two"))
-    out = join_wide(pairs.join(two, "w"), one, per, "v", "n", total, "w").withColumn("common", F.size(F.array_intersect("one", "two")))
-    return out.filter(F.col("common") >= similarity * (F.size("one") + F.size("two") - F.col("common"))).select("v", "w")
+    whole = F.struct("set", "times", "n")
+    one, two = sets.select("v", whole.alias("one")), sets.select(F.col("v").alias("w"), whole.alias("two"))
+    out = join_wide(pairs.join(two, "w"), one, per, "v", "n", total, "w")
+    out = out.withColumn("common", F.size(F.array_intersect(_occurrences("one"), _occurrences("two"))))
+    return out.filter(F.col("common") >= similarity * (F.col("one.n") + F.col("two.n") - F.col("common"))).select("v", "w")
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -98,10 +109,11 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 def prefix_pairs(apart: DataFrame, sets: DataFrame, folder: str, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (v, w) of texts of different components that may resemble by `similarity`; it leaves out no pair that does.
 
-    apart: v, c (component). Two sets of sizes n and m that resemble enough share at least o = t / (1 + t) * (n + m)
-    elements, so, in any fixed order, one of the first n - o + 1 of the one is among the first m - o + 1 of the other;
-    for the smaller set these are at most the first n - 2t / (1 + t) * n + 1, where it is said to be active. The order is
-    by how many texts have an element, so that what large groups have in common hardly ever makes a pair.
+    apart: v, c (component). Two sets of weights n and m that resemble enough share a weight of at least
+    o = t / (1 + t) * (n + m). So, in any fixed order, the first element they share has a weight of at most n - o before it
+    in the one and m - o in the other; in the lighter set that is at most n - 2t / (1 + t) * n, up to where it is said to
+    be active. The order is by how many texts have an element, so that what large groups have in common hardly ever
+    makes a pair.
 
     Texts with one of their first elements in common are a group. A group's active texts are compared with all of it
     if they are at most MOST_ACTIVE, so pairs grow with the texts. A group with more is parted in the same way by itself,
@@ -114,13 +126,13 @@ def prefix_pairs(apart: DataFrame, sets: DataFrame, folder: str, similarity: flo
     members = apart.select(F.lit(0).cast("long").alias("g"), "v", "c", F.lit(-1).cast("long").alias("of"))
     for level in range(MOST_LEVELS):
         at = f"{folder}/{level}"
-        each = members.join(sets, "v").select("g", "v", "c", "of", F.size("set").alias("n"), F.explode("set").alias("s"))
+        each = members.join(sets, "v").select("g", "v", "c", "of", "n", F.explode(F.arrays_zip("set", "times")).alias("e")).select("g", "v", "c", "of", "n", F.col("e.set").alias("s"), F.col("e.times").alias("k"))
         often = written(each.groupBy("g", "s").agg(F.count("*").alias("texts")).filter("texts > 1"), f"{at}/often")
         total = often.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
         shared = join_skewed(each, often, ["g", "s"], "texts", total, "inner", small=False)
-        # elements of one text only come first in its order, and need no rows
-        whole, order = Window.partitionBy("g", "v"), Window.partitionBy("g", "v").orderBy("texts", "s")
-        first = shared.withColumn("place", F.col("n") - F.count("*").over(whole) + F.row_number().over(order) - 1).filter(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9))
+        # elements of one text only come first in its order, and need no rows: all others' weight tells theirs
+        whole, order = Window.partitionBy("g", "v"), Window.partitionBy("g", "v").orderBy("texts", "s").rowsBetween(Window.unboundedPreceding, 0)
+        first = shared.withColumn("place", F.col("n") - F.sum("k").over(whole) + F.sum("k").over(order) - F.col("k")).filter(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9))
         active = F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9)
         first = written(first.select("g", "v", "c", "of", "n", "s", "texts", "place", active.alias("active")), f"{at}/first")
         groups = first.groupBy("g", "s").agg(
