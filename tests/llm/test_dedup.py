@@ -199,7 +199,7 @@ def test_prefix_pairs_of_hot_groups(spark, monkeypatch):
     texts = []
     for _ in range(150):
         chosen = sorted(rng.sample(range(8), rng.choice([5, 6])))
-        texts.append(" ".join(w for k in chosen for w in passages_[k]) + " " + " ".join(f"own{rng.randrange(9)}" for _ in range(rng.choice([0, 2, 4]))) + " again" * rng.choice([0, 0, 7, 12])))
+        texts.append(" ".join(w for k in chosen for w in passages_[k]) + " " + " ".join(f"own{rng.randrange(9)}" for _ in range(rng.choice([0, 2, 4]))) + " again" * rng.choice([0, 0, 7, 12]))
     texts = list(dict.fromkeys(texts))
     df = spark.createDataFrame(list(enumerate(texts)), "v long, text string")
     sets = near_dedup.shingle_sets(df)

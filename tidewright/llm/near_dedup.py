@@ -123,37 +123,39 @@ def prefix_pairs(apart: DataFrame, sets: DataFrame, folder: str, similarity: flo
     resemble one another, and their components are mostly one.
     """
     out = None
-    members = apart.select(F.lit(0).cast("long").alias("g"), "v", "c", F.lit(-1).cast("long").alias("of"))
+    # one row a text and group; sets are fetched by v, and what is shuffled of them has no more than it needs
+    members = written(apart.join(sets.select("v", "n"), "v").select(F.col("v").alias("id"), "v", "c", "n", F.lit(0).cast("long").alias("g"), F.lit(-1).cast("long").alias("of")), f"{folder}/members")
     for level in range(MOST_LEVELS):
         at = f"{folder}/{level}"
-        each = members.join(sets, "v").select("g", "v", "c", "of", "n", F.explode(F.arrays_zip("set", "times")).alias("e")).select("g", "v", "c", "of", "n", F.col("e.set").alias("s"), F.col("e.times").alias("k"))
-        often = written(each.groupBy("g", "s").agg(F.count("*").alias("texts")).filter("texts > 1"), f"{at}/often")
+        element = F.xxhash64("g", "x.set") if level else F.col("x.set")
+        each = members.select("id", "v", "g").join(sets.select("v", "set", "times"), "v").select("id", "g", F.explode(F.arrays_zip("set", "times")).alias("x")).select("id", element.alias("e"), F.col("x.times").alias("k"))
+        often = written(each.groupBy("e").agg(F.count("*").alias("texts")).filter("texts > 1"), f"{at}/often")
         total = often.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
-        shared = join_skewed(each, often, ["g", "s"], "texts", total, "inner", small=False)
         # elements of one text only come first in its order, and need no rows: all others' weight tells theirs
-        whole, order = Window.partitionBy("g", "v"), Window.partitionBy("g", "v").orderBy("texts", "s").rowsBetween(Window.unboundedPreceding, 0)
+        shared = join_wide(each, often, often, "e", "texts", total, "id").join(members, "id")
+        whole, order = Window.partitionBy("id"), Window.partitionBy("id").orderBy("texts", "e").rowsBetween(Window.unboundedPreceding, 0)
         first = shared.withColumn("place", F.col("n") - F.sum("k").over(whole) + F.sum("k").over(order) - F.col("k")).filter(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9))
         active = F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9)
-        first = written(first.select("g", "v", "c", "of", "n", "s", "texts", "place", active.alias("active")), f"{at}/first")
-        groups = first.groupBy("g", "s").agg(
+        first = written(first.select("e", "v", "c", "n", "of", "texts", "place", active.alias("active")), f"{at}/first")
+        groups = first.groupBy("e").agg(
             F.count("*").alias("m"), F.count_if("active").alias("actives"), F.first("texts").alias("texts"), F.first("of").alias("of"), F.min("c").alias("c1"), F.max("c").alias("c2"),
             F.bit_xor(F.xxhash64("v")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("again"), "v")).alias("x2"),
         )
-        groups = groups.filter("actives > 0 and c1 <> c2").groupBy("g", "m", "x1", "x2").agg(F.min(F.struct("texts", "s", "actives")).alias("r"), F.first("of").alias("of"))
+        groups = groups.filter("actives > 0 and c1 <> c2").groupBy("m", "x1", "x2").agg(F.min(F.struct("texts", "e", "actives")).alias("r"), F.first("of").alias("of"))
         large = (F.col("r.actives") > MOST_ACTIVE) & (F.col("of") != F.col("m")) & F.lit(level + 1 < MOST_LEVELS)
-        groups = written(groups.select("g", F.col("r.s").alias("s"), "m", large.alias("large")), f"{at}/groups")
+        groups = written(groups.select(F.col("r.e").alias("e"), "m", large.alias("large")), f"{at}/groups")
         total = groups.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-        rows = join_skewed(first.drop("of", "texts"), groups, ["g", "s"], "m", total, "inner", small=False)
+        rows = written(join_skewed(first.drop("of", "texts"), groups, "e", "m", total, "inner", small=False), f"{at}/rows")
         few = rows.filter("not large")
-        actives = few.filter("active").groupBy("g", "s", "m").agg(F.collect_list(F.struct("v", "c", "n", "place")).alias("x"))
-        met = join_skewed(few.drop("active", "m"), written(actives, f"{at}/actives"), ["g", "s"], "m", total, "inner", small=False).withColumn("x", F.explode("x"))
+        actives = few.filter("active").groupBy("e", "m").agg(F.collect_list(F.struct("v", "c", "n", "place")).alias("x"))
+        met = join_skewed(few.drop("active", "m"), written(actives, f"{at}/actives"), "e", "m", total, "inner", small=False).withColumn("x", F.explode("x"))
         o = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("x.n")) - 1e-9)
         near = (F.col("x.n") <= F.col("n")) & (F.col("x.c") != F.col("c")) & (F.col("place") <= F.col("n") - o) & (F.col("x.place") <= F.col("x.n") - o)
         pairs = written(met.filter(near).select("v", F.col("x.v").alias("w")).distinct(), f"{at}/pairs")
         out = pairs if out is None else out.union(pairs)
         if not groups.filter("large").head(1):
             break
-        members = written(rows.filter("large").select(F.xxhash64("g", "s").alias("g"), "v", "c", F.col("m").alias("of")), f"{at}/members")
+        members = written(rows.filter("large").select(F.monotonically_increasing_id().alias("id"), "v", "c", "n", F.col("e").alias("g"), F.col("m").alias("of")), f"{at}/members")
     return out.select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct()
 
 
