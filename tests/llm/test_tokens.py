@@ -194,3 +194,16 @@ def test_the_proof_is_stored_once(spark, pieces):
     at = bpe.proof(spark, word_tokenizer())
     assert bpe._stored(at) == pieces.whole
     assert bpe.proof(spark, word_tokenizer()) == at
+
+
+def test_blocks_are_cut_and_joined():
+    from tidewright.llm.common import blocks
+
+    texts = ["x" * n for n in (5, 0, 30, 200, 1, 1, 99, 100, 101, 7)] + [None, "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["n", "text"])
+    for batches in ([batch], [batch.slice(k, 1) for k in range(len(texts))], [batch.slice(3, 6), batch.slice(0, 0), batch.slice(9)]):
+        got = list(blocks(iter(batches), 1, 100))
+        assert pa.Table.from_batches(got).to_pylist() == pa.Table.from_batches([b for b in batches if b.num_rows]).to_pylist()
+        for b in got:
+            sizes = [len(x or "") for x in b.column(1).to_pylist()]
+            assert sum(sizes[:-1]) < 160

@@ -76,7 +76,8 @@ def drop(spark: SparkSession, *folders: str) -> None:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Regroups batches so that the texts in a column come to about `most` bytes; a single longer text stands alone or ends a block.
+    """Regroups batches so that the texts in a column come to about `most` bytes, whatever the batches hold; a single
+    longer text stands alone or ends a block.
 
     At the end of a task, memory that Arrow and the C library keep for later goes back to the system: the worker may
     be idle for long, beside others.
@@ -84,14 +85,13 @@ def blocks(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = 2 <<
     held: list[pa.RecordBatch] = []
     size = 0
     try:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            size += b.column(column).nbytes
-            if size >= most:
-                yield _joined(held)
-                held, size = [], 0
+        for batch in batches:
+            for b in _cut(batch, column, most):
+                held.append(b)
+                size += b.column(column).nbytes
+                if size >= most:
+                    yield _joined(held)
+                    held, size = [], 0
         if held:
             yield _joined(held)
     finally:
@@ -99,6 +99,24 @@ def blocks(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = 2 <<
         trim()
 
 
+def _cut(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each up to the row with which its texts come to `most` bytes."""
+    import numpy as np
+
+    array = batch.column(column)
+    if not len(array) or array.nbytes < most:
+        if len(array):
+            yield batch
+        return
+    off = np.frombuffer(array.buffers()[1], np.int32, len(array) + 1, array.offset * 4).astype(np.int64)
+    k = 0
+    while k < len(array):
+        end = min(len(array), int(np.searchsorted(off, off[k] + most, side="left")))
+        end = max(end, k + 1)
+        yield batch.slice(k, end - k)
+        k = end
+
+
 def trim() -> None:
     pa.default_memory_pool().release_unused()
     try:
