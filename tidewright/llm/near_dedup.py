@@ -24,7 +24,7 @@ BANDS, ROWS = 30, 5
 #: Text bytes whose darts are thrown at a time.
 BLOCK = 1 << 19
 #: Texts of a group of prefix_pairs that are compared with all others of it; groups with more are parted, so many times at most.
-MOST_ACTIVE, MOST_LEVELS = 200, 8
+MOST_ACTIVE, MOST_LEVELS = 2000, 8
 
 
 def signed(docs: DataFrame, clashes: list[int]) -> DataFrame:
