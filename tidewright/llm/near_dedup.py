@@ -148,10 +148,13 @@ def prefix_pairs(apart: DataFrame, sets: DataFrame, folder: str, similarity: flo
         rows = written(join_skewed(first.drop("of", "texts"), groups, "e", "m", total, "inner", small=False), f"{at}/rows")
         few = rows.filter("not large")
         actives = few.filter("active").groupBy("e", "m").agg(F.collect_list(F.struct("v", "c", "n", "place")).alias("x"))
-        met = join_skewed(few.drop("active", "m"), written(actives, f"{at}/actives"), "e", "m", total, "inner", small=False).withColumn("x", F.explode("x"))
-        o = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("x.n")) - 1e-9)
-        near = (F.col("x.n") <= F.col("n")) & (F.col("x.c") != F.col("c")) & (F.col("place") <= F.col("n") - o) & (F.col("x.place") <= F.col("x.n") - o)
-        pairs = written(met.filter(near).select("v", F.col("x.v").alias("w")).distinct(), f"{at}/pairs")
+        met = join_skewed(few.drop("active", "m"), written(actives, f"{at}/actives"), "e", "m", total, "inner", small=False)
+
+        def near(x: Column) -> Column:
+            o = F.ceil(similarity / (1 + similarity) * (F.col("n") + x["n"]) - 1e-9)
+            return (x["n"] <= F.col("n")) & (x["c"] != F.col("c")) & (F.col("place") <= F.col("n") - o) & (x["place"] <= x["n"] - o)
+
+        pairs = written(met.select("v", F.explode(F.transform(F.filter("x", near), lambda x: x["v"])).alias("w")).distinct(), f"{at}/pairs")  # noqa: B023
         out = pairs if out is None else out.union(pairs)
         if not groups.filter("large").head(1):
             break
