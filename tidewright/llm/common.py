@@ -182,15 +182,19 @@ def join_skewed(big: DataFrame, keyed: DataFrame, key, size: str, total: int, ho
 def join_wide(big: DataFrame, keyed: DataFrame, counts: DataFrame, key: str, size: str, total: int, spread: str) -> DataFrame:
     """big inner joined with keyed (one wide row a key), none of which is broadcast, where few keys may hold most rows of big.
 
-    counts (a written table): key and its rows of big, in the column `size`. Keys with over total / 1000 rows, fewer
-    than 1000, are dealt to as many tasks as they hold such shares, by the hash of big's column `spread`, and keyed's
-    row is copied for each; of these keys, key and a number are broadcast.
+    counts (a written table): key (a long) and its rows of big, in the column `size`. Keys with over total / 1000 rows,
+    fewer than 1000, which the driver is told, are dealt to as many tasks as they hold such shares, by the hash of big's
+    column `spread`, and keyed's row is copied for each.
     """
     per = max(1.0, total / 1000)
-    parts = F.broadcast(counts.filter(F.col(size) > per).select(key, F.ceil(F.col(size) / per).cast("int").alias("__parts")))
-    salt = F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")
-    left = big.join(parts, key, "left").withColumn("__salt", salt).drop("__parts")
-    right = keyed.join(parts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    heavy = [(r[0], int(r[1] // per) + 1) for r in counts.filter(F.col(size) > per).select(key, size).collect()]
+    if not heavy:
+        return big.join(keyed, key)
+    values = [",".join(str(x[k]) for x in heavy) for k in (0, 1)]
+    found = F.map_from_arrays(*[F.split(F.lit(v), ",").cast(f"array<{t}>") for v, t in zip(values, ("bigint", "int"), strict=True)])
+    parts = F.when(F.col(key).isin([k for k, _ in heavy]), F.element_at(found, F.col(key))).otherwise(1)
+    left = big.withColumn("__salt", F.pmod(F.xxhash64(spread), parts).cast("int"))
+    right = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 
