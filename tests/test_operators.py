@@ -4,11 +4,12 @@ import math
 from datetime import datetime as D
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import market
-from tidewright.operators import folds, indicators, joins, paths, quality, reports, simulate, stats
+from tidewright.operators import folds, indicators, joins, paths, quality, reports, stats
 from tidewright.sources import files
 from tidewright.streaming import quotes as streams
 
@@ -93,13 +94,6 @@ def test_an_undecidable_rule_is_broken(spark):
     assert [r[0] for r in df.select(quality.flags({"negative": F.col("x") < 0})).collect()] == [["negative"], []]
 
 
-def test_simulation_stops_before_target_and_closes_at_the_end(spark):
-    bars = [("r", D(2024, 1, 1, h), "s", o, hi, lo, c, t, 1.0, 2.0) for h, (o, hi, lo, c, t) in enumerate([(10.0, 10.0, 10.0, 10.0, 1), (10.0, 10.5, 9.5, 10.0, 1), (10.0, 13.0, 8.0, 10.0, 1), (10.0, 10.5, 9.9, 10.2, 0)])]
-    df = spark.createDataFrame(bars, f"run string, at {NTZ}, symbol string, open double, high double, low double, close double, target int, stop_distance double, take_distance double")
-    got = [(r["exit_reason"], r["entry_time"].hour, r["exit_time"].hour) for r in simulate.simulate(df).orderBy("exit_time").collect()]
-    assert got == [("stop", 1, 2), ("last_bar", 2, 3)]
-
-
 def test_price_files(spark, tmp_path):
     (tmp_path / "EURUSD-1h.csv").write_text(" Date ,BidOpen,High,Low,Close\n2024-01-01 00:00:00,1,2,0.5,1.5\n2024-01-01 01:00:00,1,2,0.5,1.5\n")
     df = files.unique_times(files.prices_csv(spark, f"file://{tmp_path}/EURUSD-1h.csv"))
@@ -137,3 +131,64 @@ def test_streamed_quotes_are_classified(spark):
     t = D(2024, 1, 1)
     df = spark.createDataFrame([(b, a, t, t + timedelta(seconds=s)) for b, a, s in rows], "bid double, ask double, ts timestamp, received timestamp")
     assert [r["state"] for r in streams.classified(df).collect()] == ["accepted", "quarantined", "quarantined", "quarantined"]
+
+
+def test_price_files_of_other_orders(spark, tmp_path):
+    (tmp_path / "EURUSD.csv").write_text("date,open,high,low,close\n2024-01-01 00:00:00,1,2,0.5,1.5\n")
+    (tmp_path / "GBPUSD.csv").write_text("date,close,open,high,low,volume\n2024-01-01 00:00:00,1.5,1,2,0.5,9\n")
+    df = files.prices_csv(spark, [f"file://{tmp_path}/EURUSD.csv", f"file://{tmp_path}/GBPUSD.csv"])
+    assert {(r["symbol"], r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in df.collect()} == {("EURUSD", 1.0, 2.0, 0.5, 1.5, None), ("GBPUSD", 1.0, 2.0, 0.5, 1.5, 9.0)}
+
+
+def test_positions_are_global(spark):
+    from tidewright.operators import validation
+
+    rng = np.random.default_rng(3)
+    rows = [(D(2024, 1, 1 + int(d), int(h)), k) for k, (d, h) in enumerate(zip(rng.integers(0, 20, 500), rng.integers(0, 24, 500), strict=True))] + [(None, 999)]
+    df = spark.createDataFrame(rows, f"at {NTZ}, k int").repartition(7)
+    got = {r["k"]: r["pos"] for r in validation.numbered(df, ["at", "k"]).collect()}
+    assert got == {k: i for i, (_, k) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or D.min, r[1])))}
+    assert validation.numbered(df.limit(0), ["at", "k"]).collect() == []
+
+
+def test_quantiles_from_counts(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 3, 400), 1)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 2.0)], "k string, x double")
+    shares = [0.0, 0.1, 0.37, 0.5, 0.95, 1.0]
+    got = {r["k"]: r["q"] for r in stats.quantiles(df.groupBy("k", "x").agg(F.count("*").alias("n")), ["k"], "x", "n", shares).collect()}
+    assert np.allclose(got["a"], np.quantile(x, shares))
+    assert got["b"] == [2.0] * 6
+
+
+def test_resampling_keeps_blocks(spark):
+    """Of a series of equal blocks, flips of whole blocks are far less sure than flips of values; bounds hold the mean."""
+    rng = np.random.default_rng(5)
+    base = np.repeat(rng.normal(0.3, 1, 24), 5)
+    df = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(base)] + [("b", 0, 1.0), ("b", 1, None)], "k string, pos int, x double")
+    got = {r["k"]: r for r in stats.bootstrap(df, ["k"], "x", 5).collect()}
+    single = {r["k"]: r for r in stats.bootstrap(df, ["k"], "x", 1).collect()}
+    assert got["a"]["low"] < base.mean() < got["a"]["high"]
+    assert got["a"]["high"] - got["a"]["low"] > 1.6 * (single["a"]["high"] - single["a"]["low"])
+    assert got["a"]["p_value"] > 2 * single["a"]["p_value"]
+    assert (got["b"]["n"], got["b"]["mean"], got["b"]["low"]) == (1, 1.0, 1.0)
+    assert [tuple(r) for r in stats.bootstrap(df, ["k"], "x", 5).orderBy("k").collect()] == [tuple(got["a"]), tuple(got["b"])]
+
+
+def test_barriers(spark):
+    from tidewright.operators import paths
+
+    def label(rows, **more):
+        bars = [("s", D(2024, 1, 1, h), *map(float, r)) for h, r in enumerate([(10, 10, 10, 10), *rows])]
+        df = spark.createDataFrame(bars, f"symbol string, open_time {NTZ}, open double, high double, low double, close double")
+        r = paths.triple_barrier(df, F.lit(2.0), F.lit(1.0), 3, **more).orderBy("open_time").first()
+        return r["first_touch"], r["label"], r["bars_to_exit"], r["exit_price"], r["gross_r"]
+
+    calm = (10, 10.5, 9.5, 10.2)
+    assert label([calm, (8, 13, 7, 8)]) == ("sl_gap", -1, 2, 8.0, -2.0)
+    assert label([calm, (13, 14, 7, 8)]) == ("tp_gap", 1, 2, 12.0, 2.0)
+    assert label([calm, (10, 13, 8, 8)]) == ("sl", -1, 2, 9.0, -1.0)
+    assert label([calm, (10, 13, 8, 8)], same_bar="profit_first") == ("tp", 1, 2, 12.0, 2.0)
+    assert label([calm, (10, 13, 8, 8)], same_bar="unresolved") == ("ambiguous", 0, 2, None, None)
+    assert label([calm, calm, calm, (20, 20, 20, 20)]) == ("timeout", 0, 3, 10.2, 0.2)
+    assert label([calm, (10, 11.5, 7.9, 8)], direction=-1) == ("sl", -1, 2, 11.0, -1.0)

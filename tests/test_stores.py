@@ -54,7 +54,13 @@ def test_ledgers(spark):
     changed = rows.withColumn("name", F.when(F.col("k") == 2, "other").otherwise(F.col("name")))
     assert [tuple(r) for r in stores.broken_links(changed, ["k", "name"]).collect()] == [(3, "changed")]
     assert {r["fault"] for r in stores.broken_links(rows.filter("k <> 4"), ["k", "name"], head).collect()} == {"truncated"}
-    assert {r["fault"] for r in stores.broken_links(rows.filter("k <> 2"), ["k", "name"]).collect()} == {"link", "gap"}
+    assert [tuple(r) for r in stores.broken_links(rows.filter("k <> 2"), ["k", "name"]).collect()] == [(4, "gap")]
+    # a row that is rewritten with its hash and the next one's link
+    body = '{"sequence":3,"k":2,"name":"forged"}'
+    second = rows.filter("sequence = 2").first()["sha256"]
+    forged = hashlib.sha256(f"{second}|{body}".encode()).hexdigest()
+    bad = rows.withColumn("name", F.when(F.col("k") == 2, "forged").otherwise(F.col("name"))).withColumn("sha256", F.when(F.col("k") == 2, forged).otherwise(F.col("sha256"))).withColumn("previous_sha256", F.when(F.col("k") == 3, forged).otherwise(F.col("previous_sha256")))
+    assert [tuple(r) for r in stores.broken_links(bad, ["k", "name"], head).collect()] == [(4, "changed")]
 
 
 def test_run_folders(spark, tmp_path):

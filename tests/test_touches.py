@@ -39,7 +39,7 @@ def test_every_bar_is_a_decision(spark, sf_dir):
     for b in bars:
         by[b["symbol"]].append(b)
     want = {f"{b['symbol']}|{b['open_time']:%Y-%m-%d %H}": x for b in bars if (x := scored(by[b["symbol"]], b))}
-    got = {r["decision_id"]: tuple(r)[1:] for r in all_queries()["first_touch_all"](spark, sf_dir).collect()}
+    got = {r["decision_id"]: tuple(r)[1:] for r in all_queries()["first_touch"](spark, sf_dir).collect()}
     assert len(want) > 0.9 * len(bars)
     assert got.keys() == want.keys()
     for d, (points, touch, at, *shares) in want.items():
@@ -48,7 +48,7 @@ def test_every_bar_is_a_decision(spark, sf_dir):
     cells = defaultdict(list)
     for d, x in want.items():
         cells[d.split("|")[0], "long" if int(d[-2:]) % 2 == 0 else "short"].append(x)
-    rows = all_queries()["expectancy_cells_all"](spark, sf_dir).collect()
+    rows = all_queries()["expectancy_cells"](spark, sf_dir).collect()
     assert {(r["symbol"], r["direction"]): r["evaluated"] for r in rows} == {k: len(v) for k, v in cells.items()}
     for r in rows:
         assert abs(r["expectancy_r"] - sum(x[5] for x in cells[r["symbol"], r["direction"]]) / r["evaluated"]) < 2e-5

@@ -23,7 +23,8 @@ def first_touch(path: DataFrame) -> DataFrame:
 
     path also has direction (long, short), entry, stop, target1, target2. Within one point a stop beats nothing: with
     a target it is ambiguous, and counts as the stop. Excursions count up to the touch, in units of entry to stop;
-    the adverse one is at least 0. Without a touch the last close decides. One aggregation by decision: no row lists.
+    the adverse one is at least 0. Without a touch the last close decides. The first touch is a window over a decision's
+    rows, which the aggregation after it finds in place: one shuffle by decision, no join of the path with itself.
     """
     long = F.col("direction") == "long"
     sign = F.when(long, 1.0).otherwise(-1.0)
@@ -33,8 +34,9 @@ def first_touch(path: DataFrame) -> DataFrame:
     two, one = sign * (best - F.col("target2")) >= 0, sign * (best - F.col("target1")) >= 0
     touch = F.when(stop & (one | two), "ambiguous").when(stop, "sl").when(two, "tp2").when(one, "tp1")
     p = path.filter(risk > 0).withColumns({"touch": touch, "fav": sign * (best - F.col("entry")) / risk, "adv": sign * (F.col("entry") - worst) / risk, "end_r": sign * (F.col("close") - F.col("entry")) / risk, "r1": F.abs(F.col("target1") - F.col("entry")) / risk, "r2": F.abs(F.col("target2") - F.col("entry")) / risk})
-    first = p.groupBy("decision_id").agg(F.min(F.when(F.col("touch").isNotNull(), F.col("at"))).alias("touched_at"))
-    p = p.join(first, "decision_id").filter(F.col("touched_at").isNull() | (F.col("at") <= F.col("touched_at")))
+    from pyspark.sql import Window
+
+    p = p.withColumn("touched_at", F.min(F.when(F.col("touch").isNotNull(), F.col("at"))).over(Window.partitionBy("decision_id"))).filter(F.col("touched_at").isNull() | (F.col("at") <= F.col("touched_at")))
     out = p.groupBy("decision_id").agg(F.count("*").alias("points"), F.min_by("touch", F.col("at")).alias("t0"), F.max_by("touch", F.col("at")).alias("first_touch"), F.first("touched_at").alias("touched_at"), F.max("fav").alias("mfe"), F.max("adv").alias("mae"), F.max_by("end_r", F.col("at")).alias("end_r"), F.first("r1").alias("r1"), F.first("r2").alias("r2"))
     t = F.coalesce("first_touch", F.lit("none"))
     realized = F.when(t.isin("sl", "ambiguous"), -1.0).when(t == "tp2", F.col("r2")).when(t == "tp1", F.col("r1")).otherwise(F.col("end_r"))
@@ -50,17 +52,35 @@ def expectancy(outcomes: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("profit_factor", F.round(F.when(F.col("l") > 0, F.col("w") / F.col("l")).when(F.col("w") > 0, float("inf")), 4)).withColumn("sample_ok", F.col("evaluated") >= 20).drop("w", "l")
 
 
-def triple_barrier(bars: DataFrame, up: Column, down: Column, horizon: int) -> DataFrame:
-    """bars with label (1, -1, 0) and bars_to_exit: which barrier around the next open is met first within horizon bars.
+def triple_barrier(bars: DataFrame, profit: Column, risk: Column, horizon: int, direction: int = 1, same_bar: str = "stop_first") -> DataFrame:
+    """bars with first_touch, label (1, -1, 0), bars_to_exit, exit_price, gross_r: which barrier around the next open is
+    met first within horizon bars.
 
-    The bars ahead are an ordered frame of bounded length, folded in place: no join. A bar that meets both counts as
-    down. up and down are distances.
+    In each bar an open beyond a barrier comes before all else: beyond the stop it is the exit price (sl_gap), beyond
+    the target the target is (tp_gap). Then touches: a bar that meets both counts as the stop, with same_bar
+    "profit_first" as the target, with "unresolved" as ambiguous, without an exit. Without any, the last bar's close
+    decides (timeout). The entry bar is bar 1; the last bars have fewer ahead, the very last none and no row. profit and
+    risk are distances above 0; direction -1 turns all around. The bars ahead are an ordered frame of bounded length,
+    folded in place: no join.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("symbol").orderBy("open_time").rowsBetween(1, horizon)
-    ahead = bars.withColumns({"up": up, "down": down, "ahead": F.collect_list(F.struct("open", "high", "low")).over(w)})
-    entry = F.col("ahead")[0]["open"]
-    hits = F.transform("ahead", lambda b, i: F.when(b["low"] <= entry - F.col("down"), F.struct((i + 1).alias("n"), F.lit(-1).alias("l"))).when(b["high"] >= entry + F.col("up"), F.struct((i + 1).alias("n"), F.lit(1).alias("l"))))
-    met = ahead.filter(F.size("ahead") > 0).withColumn("__f", F.try_element_at(F.filter(hits, lambda h: h.isNotNull()), F.lit(1)))
-    return met.select(*bars.columns, F.coalesce(F.col("__f.l"), F.lit(0)).alias("label"), F.coalesce(F.col("__f.n"), F.size("ahead")).alias("bars_to_exit"))
+    ahead = bars.withColumns({"__p": profit, "__r": risk, "__a": F.collect_list(F.struct("open", "high", "low", "close")).over(w)})
+    entry = F.col("__a")[0]["open"]
+    stop, target = entry - direction * F.col("__r"), entry + direction * F.col("__p")
+    best, worst = ("high", "low") if direction > 0 else ("low", "high")
+    both = {"stop_first": "sl", "profit_first": "tp", "unresolved": "ambiguous"}[same_bar]
+
+    def touch(b: Column) -> Column:
+        down, up = direction * (b[worst] - stop) <= 0, direction * (b[best] - target) >= 0
+        return F.when(direction * (b["open"] - stop) <= 0, "sl_gap").when(direction * (b["open"] - target) >= 0, "tp_gap").when(down & up, both).when(down, "sl").when(up, "tp")
+
+    met = ahead.filter(F.size("__a") > 0).withColumn("__t", F.transform("__a", touch))
+    met = met.withColumn("__k", F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.size("__a")), lambda i: F.element_at("__t", i).isNotNull())), F.lit(0)))
+    n = F.when(F.col("__k") > 0, F.col("__k")).otherwise(F.size("__a"))
+    first = F.when(F.col("__k") > 0, F.element_at("__t", F.greatest(F.col("__k"), F.lit(1)))).otherwise("timeout")
+    met = met.withColumn("first_touch", first).withColumn("__n", n).withColumn("__bar", F.element_at("__a", F.col("__n")))
+    price = F.when(F.col("first_touch") == "sl_gap", F.col("__bar.open")).when(F.col("first_touch") == "sl", stop).when(F.col("first_touch").isin("tp", "tp_gap"), target).when(F.col("first_touch") == "timeout", F.col("__bar.close"))
+    label = F.when(F.col("first_touch").startswith("sl"), -1).when(F.col("first_touch").startswith("tp"), 1).otherwise(0)
+    return met.select(*bars.columns, "first_touch", label.alias("label"), F.col("__n").cast("int").alias("bars_to_exit"), F.round(price, 6).alias("exit_price"), F.round(direction * (price - entry) / F.col("__r"), 6).alias("gross_r"))

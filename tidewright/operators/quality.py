@@ -58,15 +58,6 @@ def journal_audit(df: DataFrame, by: list[str], ts: str, seq: str, hours: float)
     return d.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if("back").alias("reversals"), F.count_if(F.col("step") < 1800 * hours).alias("repeats"), F.count_if(F.col("step") > 7200 * hours).alias("gaps"), F.round(F.coalesce(F.max("step"), F.lit(0.0)), 3).alias("worst_gap"))
 
 
-def chained(df: DataFrame, order: list[str], payload: list[str], links: int = 0) -> DataFrame:
-    """df with sequence, payload_sha256 and whether the stored previous_sha256, if there, is that of the row before."""
-    w = Window.orderBy(*order)
-    own = F.sha2(F.to_json(F.struct(*payload)), 256)
-    out = df.withColumn("sequence", F.row_number().over(w)).withColumn("payload_sha256", own)
-    out = out.withColumn("expected_previous", F.coalesce(F.lag("payload_sha256").over(w), F.lit("")))
-    return out.withColumn("chain_ok", F.col("previous_sha256") == F.col("expected_previous")) if "previous_sha256" in df.columns else out
-
-
 def appended(new: DataFrame, old: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
     """The rows of new that an idempotent store lacks; raises if a key is there with another payload.
 

@@ -34,11 +34,30 @@ def ks(df: DataFrame, by: list[str], value: str, group: str) -> DataFrame:
     return per.withColumn("d", d).groupBy(*by).agg(F.round(F.max("d"), 6).alias("ks"))
 
 
+def quantiles(per: DataFrame, by: list[str], value: str, count: str, shares: list[float]) -> DataFrame:
+    """by, q: linear quantiles at `shares` (ascending) by key, from one row a distinct value with its count.
+
+    Ranks are read off a running count over the distinct values; no buffer holds a key's values. Rank r = share * (n - 1)
+    lies between the values whose counts reach past its floor and its ceiling.
+    """
+    w, all_ = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    rows = per.filter(F.col(count) > 0).withColumn("__end", F.sum(count).over(w)).withColumn("__n", F.sum(count).over(all_))
+    ranks = F.array(*[F.lit(float(s)) for s in shares])
+    each = rows.withColumn("__s", F.explode(F.transform(ranks, lambda s, i: F.struct(i.alias("i"), (s * (F.col("__n") - 1)).alias("r")))))
+    start, r = F.col("__end") - F.col(count), F.col("__s.r")
+    holds = lambda x: (start <= x) & (x < F.col("__end"))
+    low, high = holds(F.floor(r)), holds(F.ceil(r))
+    part = each.filter(low | high).withColumn("__v", F.when(low, F.col(value) * (1 - (r - F.floor(r)))).otherwise(0.0) + F.when(high, F.col(value) * (r - F.floor(r))).otherwise(0.0))
+    found = part.groupBy(*by, F.col("__s.i").alias("i")).agg(F.sum("__v").alias("v"))
+    return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))
+
+
 def psi(df: DataFrame, by: list[str], value: str, group: str, bins: int = 10) -> DataFrame:
-    """Population stability of group 1 against quantile bins of group 0, by key."""
-    cuts = df.filter(F.col(group) == 0).groupBy(*by).agg(F.array_distinct(F.percentile(value, [i / bins for i in range(1, bins)])).alias("cuts"))
-    b = df.join(cuts, by).withColumn("bin", F.size(F.filter("cuts", lambda c: c <= F.col(value))))
-    per = b.groupBy(*by, "bin").agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
+    """Population stability of group 1 against quantile bins of group 0, by key, from counts of distinct values."""
+    per = df.groupBy(*by, value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
+    cuts = quantiles(per, by, value, "a", [i / bins for i in range(1, bins)]).select(*by, F.array_distinct("q").alias("cuts"))
+    b = per.join(cuts, by).withColumn("bin", F.size(F.filter("cuts", lambda c: c <= F.col(value))))
+    per = b.groupBy(*by, "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     all_ = Window.partitionBy(*by)
     x, z = (F.greatest(F.col(c) / F.sum(c).over(all_), F.lit(1e-6)) for c in "ab")
     return per.withColumn("t", (z - x) * F.ln(z / x)).groupBy(*by).agg(F.round(F.sum("t"), 6).alias("psi"), F.count("*").alias("bins"))
@@ -129,25 +148,32 @@ def overfitting(returns: DataFrame, blocks: int = 8) -> DataFrame:
     return per.repartition(1).mapInPandas(combine, "trials long, combinations long, pbo double")
 
 
-def bootstrap(df: DataFrame, by: list[str], value: str, block: int = 5, rounds: int = 500, seed: int = 42) -> DataFrame:
-    """Confidence bounds of a mean by moving-block resampling, and a sign-flip p value, by key.
+def bootstrap(df: DataFrame, by: list[str], value: str, block: int = 5, resamples: int = 2000, flips: int = 5000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """Confidence bounds of a mean by circular blocks, and the p value of a mean above 0 by flipping the signs of blocks, by key.
 
-    Resamples are dealt to tasks; a key's values travel as one array, so keys must be of bounded length (trials, cells).
+    Blocks of `block` values in order of pos begin anywhere and run on at the start, so that serial dependence stays.
+    A key's values travel as one array, so keys must be of bounded length (trials, cells); keys are dealt to tasks, and
+    each has its own random numbers, which follow from the seed and its name. Nulls are left out; keys of fewer values
+    than a block take blocks of all.
     """
-    arrays = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value]).alias("x"))
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value].cast("double")).alias("x"))
+    arrays = rows.withColumn("own", F.xxhash64(*by))
 
     def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
                 x = np.asarray(row.x, float)
-                rng = np.random.default_rng([seed, len(x)])
-                m = -(-len(x) // block)
-                starts = rng.integers(0, max(1, len(x) - block + 1), (rounds, m))
-                idx = (starts[:, :, None] + np.arange(min(block, len(x)))).reshape(rounds, -1)[:, : len(x)]
-                means = x[idx].mean(1)
-                flips = (rng.choice([-1.0, 1.0], (rounds, len(x))) * x).mean(1)
-                out.append((*[getattr(row, k) for k in by], len(x), float(x.mean()), float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975)), float((1 + (flips >= x.mean()).sum()) / (rounds + 1))))
+                n, size = len(x), min(block, len(x))
+                rng = np.random.default_rng([seed, row.own & 0xFFFFFFFFFFFFFFFF])
+                means = np.empty(resamples)
+                for k in range(0, resamples, 100):  # some at a time: memory by the key's length alone
+                    starts = rng.integers(0, n, (min(100, resamples - k), -(-n // size)))
+                    means[k : k + 100] = x[((starts[:, :, None] + np.arange(size)) % n).reshape(len(starts), -1)[:, :n]].mean(1)
+                parts = np.add.reduceat(x, np.arange(0, n, size))
+                above = sum(int((rng.choice([-1.0, 1.0], (min(100, flips - k), len(parts))) @ parts / n >= x.mean()).sum()) for k in range(0, flips, 100))
+                tail = (1 - confidence) / 2
+                out.append((*[getattr(row, k) for k in by], n, float(x.mean()), float(np.quantile(means, tail)), float(np.quantile(means, 1 - tail)), (above + 1) / (flips + 1)))
             yield pd.DataFrame(out, columns=[*by, "n", "mean", "low", "high", "p_value"])
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)

@@ -96,14 +96,14 @@ def session_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("symbol"), "third").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("hits"), F.round(F.stddev_samp("value"), 5).alias("sd"), F.round(F.percentile("value", 0.1), 6).alias("p10"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
 
 
-@query("risk_windows", """WITH e AS (SELECT ts - INTERVAL 30 MINUTES AS s, ts + INTERVAL 30 MINUTES AS t FROM events WHERE event_type = 'error' AND value > 100), o AS (SELECT *, max(t) OVER (ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e), g AS (SELECT *, sum((before IS NULL OR s > before)::INT) OVER (ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM o) SELECT min(s) AS start, max(t) AS "end", count(*) AS events FROM g GROUP BY g""")
+@query("risk_windows", """WITH e AS (SELECT event_type AS currency, ts - INTERVAL 5 MINUTES AS s, ts + INTERVAL 5 MINUTES AS t FROM events), o AS (SELECT *, max(t) OVER (PARTITION BY currency ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e), g AS (SELECT *, sum((before IS NULL OR s > before)::INT) OVER (PARTITION BY currency ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM o) SELECT currency, min(s) AS start, max(t) AS "end", count(*) AS events FROM g GROUP BY currency, g""")
 def risk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_type = 'error' and value > 100")
-    e = e.select((F.col("ts") - F.expr("interval 30 minutes")).alias("s"), (F.col("ts") + F.expr("interval 30 minutes")).alias("t"))
-    w = Window.orderBy("s", "t")
+    e = table(spark, sf_dir, "events")
+    e = e.select(F.col("event_type").alias("currency"), (F.col("ts") - F.expr("interval 5 minutes")).alias("s"), (F.col("ts") + F.expr("interval 5 minutes")).alias("t"))
+    w = Window.partitionBy("currency").orderBy("s", "t")
     o = e.withColumn("before", F.max("t").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     g = o.withColumn("g", F.sum((F.col("before").isNull() | (F.col("s") > F.col("before"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy("g").agg(F.min("s").alias("start"), F.max("t").alias("end"), F.count("*").alias("events")).drop("g")
+    return g.groupBy("currency", "g").agg(F.min("s").alias("start"), F.max("t").alias("end"), F.count("*").alias("events")).drop("g")
 
 
 @query("cost_breakdown", f"WITH t AS ({NET}) SELECT symbol, round(sum(spread_cost) / sum(abs(gross)), 6) AS spread_share, round(sum(slip_cost) / sum(abs(gross)), 6) AS slip_share, round(sum(other_cost) / sum(abs(gross)), 6) AS other_share, round(sum(net) / sum(abs(gross)), 6) AS kept_share FROM t GROUP BY symbol")
@@ -176,7 +176,7 @@ def cost_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The simulation under 1, 2 and 3 times the costs."""
     out = None
     for m in (1.0, 2.0, 3.0):
-        t = simulate.simulate(signals(spark, sf_dir), simulate.Settings(half_spread=0.0005 * m, slippage=0.0002 * m)).groupBy("run").agg(F.count("*").alias("trades"), F.round(F.sum("pnl"), 4).alias("pnl")).withColumn("multiple", F.lit(m))
+        t = simulate.simulate(signals(spark, sf_dir), simulate.Settings(cost_factor=m)).groupBy("run").agg(F.count("*").alias("trades"), F.round(F.sum("net_pnl"), 4).alias("pnl")).withColumn("multiple", F.lit(m))
         out = t if out is None else out.unionByName(t)
     return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import market
 from tidewright.operators import bars as b
 from tidewright.operators import folds, indicators, joins, paths, quality
-from tidewright.plans.catalog import Query, query
+from tidewright.plans.catalog import query
 from tidewright.sources.tables import table, ticks
 
 TICKS = "SELECT event_type AS symbol, ts, event_id AS seq, value AS price, user_id AS writer, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS points FROM events"
@@ -195,18 +195,13 @@ def _levels(h: DataFrame) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twelfth bar's close as a decision, long or short in turn, with levels at fixed shares."""
-    return _levels(hourly(spark, sf_dir).filter("hour(open_time) % 12 = 0").withColumn("direction", F.when(F.hour("open_time") == 0, "long").otherwise("short")))
-
-
-def all_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every bar's close as a decision, long in even and short in odd hours."""
+    """Every bar's close as a decision, long in even and short in odd hours, with levels at fixed distances."""
     return _levels(hourly(spark, sf_dir).withColumn("direction", F.when(F.hour("open_time") % 2 == 0, "long").otherwise("short")))
 
 
 _PATH = f"""
-WITH b AS ({BARS}), d AS (SELECT symbol || '|' || strftime(open_time, '%Y-%m-%d %H') AS decision_id, symbol, close_time AS ts, CASE WHEN hour(open_time) = 0 THEN 1.0 ELSE -1.0 END AS s, close AS entry FROM b WHERE hour(open_time) % 12 = 0),
-p AS (SELECT d.*, b.close_time AS pt, b.high, b.low, b.close, {_OH.format('b.close_time')} - {_OH.format('d.ts')} AS age FROM d JOIN b USING (symbol)),
+WITH b AS ({BARS}), d AS (SELECT symbol || '|' || strftime(open_time, '%Y-%m-%d %H') AS decision_id, symbol, close_time AS ts, CASE WHEN hour(open_time) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s, close AS entry FROM b),
+p AS (SELECT d.*, b.close_time AS pt, b.high, b.low, b.close, {_OH.format('b.close_time')} - {_OH.format('d.ts')} AS age FROM d JOIN b ON d.symbol = b.symbol AND b.close_time > d.ts AND b.close_time <= d.ts + INTERVAL 73 HOURS),
 q AS (SELECT *, CASE WHEN s > 0 THEN high ELSE low END AS best, CASE WHEN s > 0 THEN low ELSE high END AS worst FROM p WHERE age > 0 AND age <= 86400),
 t AS (SELECT *, CASE WHEN s * (worst - entry) <= -20 AND s * (best - entry) >= 20 THEN 'ambiguous' WHEN s * (worst - entry) <= -20 THEN 'sl' WHEN s * (best - entry) >= 40 THEN 'tp2' WHEN s * (best - entry) >= 20 THEN 'tp1' END AS touch FROM q),
 f AS (SELECT *, min(CASE WHEN touch IS NOT NULL THEN pt END) OVER (PARTITION BY decision_id) AS touched_at FROM t),
@@ -217,9 +212,9 @@ r AS (SELECT decision_id, symbol, s, points, first_touch, touched_at, mfe_r, mae
 """
 
 
-def touches(spark: SparkSession, sf_dir: str, made: Query = decisions) -> DataFrame:
+def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hourly(spark, sf_dir).select("symbol", F.col("close_time").alias("at"), "high", "low", "close")
-    return paths.first_touch(paths.paths(made(spark, sf_dir), h, 24))
+    return paths.first_touch(paths.paths(decisions(spark, sf_dir), h, 24))
 
 
 @query("first_touch", _PATH + "SELECT decision_id, points, first_touch, touched_at, mfe_r, mae_r, realized_r FROM r")
@@ -235,17 +230,6 @@ def expectancy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.expectancy(touches(spark, sf_dir).join(d, "decision_id"), ["symbol", "direction"])
 
 
-@query("first_touch_all")
-def first_touch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return touches(spark, sf_dir, all_decisions)
-
-
-@query("expectancy_cells_all")
-def expectancy_cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = all_decisions(spark, sf_dir).select("decision_id", "symbol", "direction")
-    return paths.expectancy(touches(spark, sf_dir, all_decisions).join(d, "decision_id"), ["symbol", "direction"])
-
-
 _W = "PARTITION BY symbol ORDER BY open_time"
 
 
@@ -322,9 +306,15 @@ def donchian_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.states(s, "long", "short", "leave").select("symbol", "open_time", "position")
 
 
-@query("triple_barrier")
+@query("triple_barrier", f"""WITH b AS ({BARS}), l AS (SELECT symbol, open_time, list({{'o': open, 'h': high, 'l': low, 'c': close}}) OVER ({_W} ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS ahead FROM b),
+e AS (SELECT symbol, open_time, ahead, ahead[1].o AS entry FROM l WHERE len(ahead) > 0),
+t AS (SELECT *, list_transform(ahead, lambda x: CASE WHEN x.o <= entry - 60 THEN 'sl_gap' WHEN x.o >= entry + 100 THEN 'tp_gap' WHEN x.l <= entry - 60 THEN 'sl' WHEN x.h >= entry + 100 THEN 'tp' END) AS touch FROM e),
+n AS (SELECT *, list_position(list_transform(touch, lambda x: x IS NOT NULL), true) AS k FROM t),
+x AS (SELECT *, coalesce(nullif(k, 0), len(ahead)) AS n, CASE WHEN coalesce(k, 0) > 0 THEN touch[k] ELSE 'timeout' END AS first_touch FROM n),
+p AS (SELECT *, CASE first_touch WHEN 'sl_gap' THEN ahead[n].o WHEN 'sl' THEN entry - 60 WHEN 'timeout' THEN ahead[n].c ELSE entry + 100 END AS exit_price FROM x)
+SELECT symbol, open_time, first_touch, CASE WHEN first_touch LIKE 'sl%' THEN -1 WHEN first_touch LIKE 'tp%' THEN 1 ELSE 0 END AS label, n::INT AS bars_to_exit, round(exit_price, 6) AS exit_price, round((exit_price - entry) / 60, 6) AS gross_r FROM p""")
 def triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.triple_barrier(hourly(spark, sf_dir), F.lit(100.0), F.lit(60.0), 6).select("symbol", "open_time", "label", "bars_to_exit")
+    return paths.triple_barrier(hourly(spark, sf_dir), F.lit(100.0), F.lit(60.0), 6).select("symbol", "open_time", "first_touch", "label", "bars_to_exit", "exit_price", "gross_r")
 
 
 @query("thinned_6h", """
@@ -365,8 +355,8 @@ def activity_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(per, ["hour", "event_type"], "left").select("hour", "event_type", F.coalesce("n", F.lit(0)).cast("long").alias("events"))
 
 
-@query("learning_curve", """SELECT event_id, user_id, sum((value > 50)::INT) OVER w AS hits, round(sum((value > 50)::INT) OVER w / count(*) OVER w, 6) AS hit_rate FROM events WHERE event_type = 'view' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""".replace("sum((value > 50)::INT) OVER w AS", "(sum((value > 50)::INT) OVER w)::BIGINT AS"))
+@query("learning_curve", """SELECT event_id, user_id, event_type, (sum((value > 50)::INT) OVER w)::BIGINT AS hits, round(sum((value > 50)::INT) OVER w / count(*) OVER w, 6) AS hit_rate FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     hits = F.sum((F.col("value") > 50).cast("int")).over(w)
-    return _of(spark, sf_dir, "view").select("event_id", "user_id", hits.alias("hits"), F.round(hits / F.count("*").over(w), 6).alias("hit_rate"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", hits.alias("hits"), F.round(hits / F.count("*").over(w), 6).alias("hit_rate"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators import indicators, quality, simulate, text
+from tidewright.operators import indicators, simulate, text
 from tidewright.plans.catalog import query
 from tidewright.plans.market import hourly
+from tidewright.sources import stores
 from tidewright.sources.tables import table, ticks
 from tidewright.streaming.quotes import in_order, stream_bars
 
@@ -53,17 +55,30 @@ def stance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("day").agg(F.sum("s").alias("net"), ((F.count_if(F.col("s") > 0) > 0) & (F.count_if(F.col("s") < 0) > 0)).alias("contradiction"), F.count_if(F.col("s") < 0).alias("short_symbols"))
 
 
-@query("hash_chain")
+_CHAIN = """WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY n_nationkey)::INT AS sequence, n_nationkey, n_name FROM nation),
+c AS (SELECT sequence, '' AS previous_sha256, sha256('' || '|' || json_object('sequence', sequence, 'n_nationkey', n_nationkey, 'n_name', n_name)::VARCHAR) AS sha256 FROM n WHERE sequence = 1
+UNION ALL SELECT n.sequence, c.sha256, sha256(c.sha256 || '|' || json_object('sequence', n.sequence, 'n_nationkey', n.n_nationkey, 'n_name', n.n_name)::VARCHAR) FROM n JOIN c ON n.sequence = c.sequence + 1)
+SELECT *, true AS intact FROM c"""
+
+
+@query("hash_chain", _CHAIN)
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = quality.chained(table(spark, sf_dir, "nation"), ["n_nationkey"], ["n_nationkey", "n_name"]).withColumnRenamed("expected_previous", "previous_sha256").drop("sequence", "payload_sha256")
-    return quality.chained(c, ["n_nationkey"], ["n_nationkey", "n_name"]).select("sequence", "payload_sha256", "chain_ok")
+    names = ["n_nationkey", "n_name"]
+    rows = stores.ledger_rows(table(spark, sf_dir, "nation").select(*names), names[:1], names)
+    faults = stores.broken_links(rows, names)
+    return rows.join(faults, "sequence", "left").select("sequence", "previous_sha256", "sha256", F.col("fault").isNull().alias("intact"))
+
+
+#: The event types' bars as bars of currency pairs, which the account can value.
+PAIRS = {"view": "EURUSD", "click": "GBPUSD", "purchase": "AUDUSD", "signup": "USDCAD", "error": "USDJPY"}
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with crossing averages as signals, for runs over several stop distances."""
     h = hourly(spark, sf_dir).withColumn("fast", indicators.sma("close", 5)).withColumn("slow", indicators.sma("close", 20))
     h = h.withColumn("target", F.when(F.col("fast") > F.col("slow"), 1).when(F.col("fast") < F.col("slow"), -1).otherwise(0))
-    runs = h.withColumn("k", F.explode(F.array(*map(F.lit, (10.0, 20.0, 40.0, 80.0)))))
+    pair = F.element_at(F.create_map(*[F.lit(x) for kv in PAIRS.items() for x in kv]), F.col("symbol"))
+    runs = h.withColumn("symbol", F.coalesce(pair, F.lit("EURUSD"))).withColumn("k", F.explode(F.array(*map(F.lit, (10.0, 20.0, 40.0, 80.0)))))
     return runs.select(F.concat(F.lit("stop"), F.col("k").cast("int").cast("string")).alias("run"), F.col("open_time").alias("at"), "symbol", "open", "high", "low", "close", "target", F.col("k").alias("stop_distance"), (F.col("k") * 2).alias("take_distance"))
 
 
@@ -75,7 +90,7 @@ def simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("simulation_by_run")
 def simulation_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = simulate.simulate(signals(spark, sf_dir))
-    return t.groupBy("run", "exit_reason").agg(F.count("*").alias("trades"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.avg("r_multiple"), 6).alias("expectancy_r"))
+    return t.groupBy("run", "exit_reason").agg(F.count("*").alias("trades"), F.round(F.sum("net_pnl"), 4).alias("pnl"), F.round(F.avg("r_multiple"), 6).alias("expectancy_r"))
 
 
 @query("effective_samples")
@@ -85,19 +100,25 @@ def effective_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.effective(i, ["book"])
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one in a local session only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (base or f"file://{tempfile.mkdtemp(prefix='tidewright-')}").rstrip("/")
+
+
 def _drained(stream: DataFrame) -> DataFrame:
     """The rows that a stream of files gives in append mode until it has read them all, from a table that is written once."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidewright-')}"
-    at = f"{base.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+    at = f"{_shared(spark)}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, sorted into files by time so that none is late."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidewright-')}"
-    at = f"{base.rstrip('/')}/quotes-{spark.range(1).select(F.uuid()).first()[0]}"
+    at = f"{_shared(spark)}/quotes-{spark.range(1).select(F.uuid()).first()[0]}"
     t = ticks(spark, sf_dir).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", "price")
     t.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(at)
     return spark.readStream.schema(t.schema).parquet(at)

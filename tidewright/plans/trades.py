@@ -105,8 +105,8 @@ def lot_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("out_of_sample", f"""WITH t AS ({NET}), n AS (SELECT *, row_number() OVER (ORDER BY exit_time, id, line) - 1 AS pos, count(*) OVER () AS total FROM t), p AS (SELECT CASE WHEN pos < floor(total * 0.7) THEN 'in_sample' ELSE 'out_of_sample' END AS part, net FROM n),
 q AS (SELECT part, {_EXACT} FROM p GROUP BY part) SELECT *, {_PF} FROM q""")
 def out_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.orderBy("exit_time", "id", "line")
-    t = trades(spark, sf_dir).withColumn("pos", F.row_number().over(w) - 1).withColumn("total", F.count("*").over(Window.partitionBy()))
+    t = trades(spark, sf_dir)
+    t = validation.numbered(t, ["exit_time", "id", "line"]).withColumn("total", F.lit(t.count()))
     return reports.performance(t.withColumn("part", F.when(F.col("pos") < F.floor(F.col("total") * 0.7), "in_sample").otherwise("out_of_sample")), ["part"])
 
 
@@ -238,8 +238,9 @@ def repair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repaired(l, ["l_partkey", "l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber"]).groupBy("verdict").agg(F.count("*").alias("rows"))
 
 
-@query("parity", """WITH a AS (SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0), u AS (SELECT *, 'left_only' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right_only' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+@query("parity", """WITH a AS (SELECT o_custkey, o_orderstatus FROM orders), b AS (SELECT o_custkey, CASE WHEN o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders), u AS (SELECT *, 'left_only' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right_only' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
 SELECT *, count(*) AS times FROM u GROUP BY ALL""")
 def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return quality.parity(o.filter("o_orderkey % 7 <> 0").select("o_custkey", "o_orderstatus"), o.filter("o_orderkey % 11 <> 0").select("o_custkey", "o_orderstatus"))
+    changed = F.when(F.col("o_totalprice") > 400000, "X").otherwise(F.col("o_orderstatus"))
+    return quality.parity(o.select("o_custkey", "o_orderstatus"), o.select("o_custkey", changed.alias("o_orderstatus")))

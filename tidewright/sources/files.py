@@ -14,14 +14,26 @@ OPTIONAL = ("volume", "spread_pips", "spread_price", "spread")
 def prices_csv(spark: SparkSession, paths: str | list[str], symbol: str | None = None, zone: str | None = None) -> DataFrame:
     """symbol, ts, open, high, low, close and the optional columns of CSV files with a header.
 
-    Headers are trimmed, lower-cased and renamed; the symbol comes from its column, the argument or the file's name.
-    A missing column raises at once. Times of a zone become UTC. unique_times() asserts what the reader cannot.
+    Every path has its own header: trimmed, lower-cased and renamed by itself, so that files may name and order their
+    columns differently; files of one path (a folder, a pattern) share one. The symbol comes from its column, the
+    argument or the file's name. A missing column raises at once. Times of a zone become UTC. unique_times() asserts
+    what the reader cannot.
     """
-    raw = spark.read.option("header", True).csv(paths)
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        part = _prices(spark, path, symbol, zone)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no price files")
+    return out
+
+
+def _prices(spark: SparkSession, path: str, symbol: str | None, zone: str | None) -> DataFrame:
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     names = [ALIASES.get(c.strip().lower(), c.strip().lower()) for c in raw.columns]
     df = raw.toDF(*names)
     if missing := [c for c in ("timestamp", *PRICES) if c not in names]:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
+        raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
     name = F.upper("symbol") if "symbol" in names else F.lit(symbol) if symbol else F.upper(F.regexp_extract(F.input_file_name(), r"([^/._-]+)[^/]*$", 1))
     ts = F.col("timestamp").cast("timestamp_ntz")
     if zone:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.operators.folds import fold
 from tidewright.operators.quality import appended
 
 #: Tables that a run folder must have.
@@ -84,20 +85,45 @@ def damaged(spark: SparkSession, root: str) -> DataFrame:
     return blobs.select("path", F.sha2("content", 256).alias("digest")).filter(~F.col("path").endswith(F.col("digest")))
 
 
+def _link(previous: Column, payload: list[str]) -> Column:
+    """A row's hash: of the hash before it, its number and its payload, so that no row can change without all after it."""
+    return F.sha2(F.concat_ws("|", previous, F.to_json(F.struct("sequence", *payload))), 256)
+
+
 def ledger_rows(trials: DataFrame, order: list[str], payload: list[str]) -> DataFrame:
-    """trials with sequence, sha256 and previous_sha256 ('' first): each row's hash covers its payload and its sequence."""
-    w = Window.orderBy(*order)
-    out = trials.withColumn("sequence", F.row_number().over(w))
-    out = out.withColumn("sha256", F.sha2(F.to_json(F.struct("sequence", *payload)), 256))
-    return out.withColumn("previous_sha256", F.coalesce(F.lag("sha256").over(w), F.lit("")))
+    """trials with sequence, previous_sha256 ('' first) and sha256, which covers payload, sequence and previous_sha256.
+
+    A chain is sequential by nature: one task streams the rows in order and holds the last hash. Ledgers are of trials
+    and decisions, not of quotes. order must be unique.
+    """
+    import hashlib
+
+    rows = trials.withColumn("body", F.to_json(F.struct(*payload))).withColumn("one", F.lit(0))
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in trials.schema.fields]
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        state["n"] += 1
+        body = '{"sequence":%d%s' % (state["n"], "," + row.body[1:] if len(row.body) > 2 else "}")  # noqa: UP031
+        before = state["last"]
+        state["last"] = hashlib.sha256(f"{before}|{body}".encode()).hexdigest()
+        return [(*row[:-2], state["n"], before, state["last"])]
+
+    return fold(rows, ["one"], order, lambda: {"n": 0, "last": ""}, step, ", ".join([*names, "sequence int", "previous_sha256 string", "sha256 string"]))
 
 
 def broken_links(ledger: DataFrame, payload: list[str], head: str | None = None) -> DataFrame:
-    """sequence, fault of a ledger: changed rows, wrong links, gaps; a missing tail if the last hash isn't `head`."""
-    w = Window.orderBy("sequence")
-    own = F.sha2(F.to_json(F.struct("sequence", *payload)), 256)
-    fault = F.when(F.col("sha256") != own, "changed").when(F.col("previous_sha256") != F.coalesce(F.lag("sha256").over(w), F.lit("")), "link").when(F.col("sequence") != F.row_number().over(w), "gap")
-    found = ledger.withColumn("fault", fault).filter(F.col("fault").isNotNull()).select("sequence", "fault")
+    """sequence, fault of a ledger: changed rows, wrong links, gaps; a missing tail if the last hash isn't `head`.
+
+    A row's hash covers the one before, so a row that is rewritten with its own hash shows at the next one; only if all
+    after it are rewritten too does nothing show but the pinned head. Each row is held against the one before by an
+    equi-join on the number: no task sees the whole ledger.
+    """
+    before = ledger.select((F.col("sequence") + 1).alias("sequence"), F.col("sha256").alias("__before"))
+    rows = ledger.join(before, "sequence", "left")
+    no_row = F.col("__before").isNull() & (F.col("sequence") != 1)
+    link = F.col("previous_sha256") != F.coalesce("__before", F.lit(""))
+    fault = F.when(no_row, "gap").when(F.col("sha256") != _link(F.col("previous_sha256"), payload), "changed").when(link, "link")
+    found = rows.withColumn("fault", fault).filter(F.col("fault").isNotNull()).select("sequence", "fault")
     if head is None:
         return found
     last = ledger.agg(F.max("sequence").alias("sequence"), F.max_by("sha256", "sequence").alias("h")).filter(F.coalesce(F.col("h"), F.lit("")) != head)
