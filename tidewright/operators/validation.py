@@ -24,7 +24,7 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     x = epoch(order[0]) if kind == "timestamp_ntz" else F.unix_micros(order[0]) / 1e6 if kind == "timestamp" else F.unix_date(order[0]).cast("double") if kind == "date" else F.col(order[0]).cast("double")
     low, high = df.select(F.min(x), F.max(x)).first()
     width = (high - low) / CELLS if low is not None and high > low else 1.0
-    cell = F.coalesce(F.least(F.floor((x - F.lit(float(low or 0.0))) / width), F.lit(CELLS)), F.lit(-1)).cast("int")
+    cell = F.when(x.isNull(), -1).otherwise(F.least(F.floor((x - F.lit(float(low or 0.0))) / width), F.lit(CELLS))).cast("int")
     rows = df.withColumn("__cell", cell)
     counts = rows.groupBy("__cell").agg(F.count("*").alias("__n"))
     before = counts.select("__cell", (F.sum("__n").over(Window.orderBy("__cell")) - F.col("__n")).alias("__before"))
