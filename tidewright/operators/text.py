@@ -1,30 +1,10 @@
-"""News text: tags, a lexicon score, near-equal titles, mark-up."""
+"""News text: tags, near-equal titles, mark-up."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Weights and words of the built-in lexicon, in the invented languages' stead plain English and German.
-POSITIVE = ("gain", "rise", "strong", "good", "the", "that")
-NEGATIVE = ("fall", "weak", "loss", "bad", "pathetic", "disgusting", "worthless")
-NEGATION, NEGATION_SPAN, HALF_LIFE_HOURS, SCALE = -0.6, 32, 12.0, 2.5
-
-
-def words(text: str) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+"), lambda w: w != "")
-
-
-def lexicon(text: str, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> Column:
-    """Positive less negative words over both, 0 without either: counts of whole words by pattern, no word arrays."""
-    p, n = (F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"\b(?:{'|'.join(x)})\b")) for x in (positive, negative))
-    return F.when(p + n > 0, (p - n) / (p + n)).otherwise(0.0)
-
-
-def decayed(score: Column, age_hours: Column) -> Column:
-    """A score halved with every HALF_LIFE_HOURS of age."""
-    return score * F.exp(-F.ln(F.lit(2.0)) * age_hours / HALF_LIFE_HOURS)
-
 
 def title_key(title: str) -> Column:
     """Letters and digits of a title alone, lower case: equal for titles that differ in punctuation and spaces."""

@@ -15,16 +15,9 @@ from tidewright.sources import stores
 from tidewright.sources.tables import table, ticks
 from tidewright.streaming.quotes import in_order, stream_bars
 
-_P, _N = (rf"\b({'|'.join(w)})\b" for w in (text.POSITIVE, text.NEGATIVE))
 TAGS = {"insult": "worthless|pathetic|disgusting|loser|scum", "mail": "@", "link": "https?://"}
 
 
-@query("lexicon_scores", rf"""WITH c AS (SELECT doc_id, lang, len(regexp_extract_all(lower(coalesce(text, '')), '{_P}')) AS p, len(regexp_extract_all(lower(coalesce(text, '')), '{_N}')) AS n FROM documents WHERE lang = 'en')
-SELECT doc_id, round(CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END, 6) AS score FROM c""")
-def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.round(text.lexicon("text"), 6).alias("score"))
-
-
 @query("news_tags", "WITH t AS (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{n}' END" for n, p in TAGS.items()) + "], lambda x: x IS NOT NULL)) AS tag, source FROM documents) SELECT tag, source, count(*) AS documents FROM t GROUP BY ALL")
 def news_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source", F.explode(text.tagged("text", TAGS)).alias("tag")).groupBy("tag", "source").agg(F.count("*").alias("documents"))
