@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", mask_pii), ("mix", mix), ("pack", pack)]
 
-#: Signatures, vocabularies and packing have no SQL; the tests compare every stage with a plain version.
+#: Signatures, vocabularies and packing have no SQL; tests/llm/test_pipeline.py compares every stage, and the whole, with plain versions.
 ORACLE_SQL = None
 
 
