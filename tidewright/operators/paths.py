@@ -21,19 +21,24 @@ def paths(decisions: DataFrame, bars: DataFrame, hours: float, tolerance: float
 def first_touch(path: DataFrame) -> DataFrame:
     """decision_id, points, first_touch, touched_at, mfe_r, mae_r, realized_r from the rows of paths().
 
-    path also has direction (long, short), entry, stop, target1, target2. Within one point a stop beats nothing: with
-    a target it is ambiguous, and counts as the stop. Excursions count up to the touch, in units of entry to stop;
+    path also has direction (long, short), entry, and the levels stop, target1, target2 or, in their place, their distances
+    from the entry: risk, reward1, reward2. A level made of entry and distance is off by a rounding; whoever has distances
+    gives those. Within one point a stop beats nothing: with a target it is ambiguous, and counts as the stop. Excursions count up to the touch, in units of entry to stop;
     the adverse one is at least 0. Without a touch the last close decides. The first touch is a window over a decision's
     rows, which the aggregation after it finds in place: one shuffle by decision, no join of the path with itself.
     """
     long = F.col("direction") == "long"
     sign = F.when(long, 1.0).otherwise(-1.0)
     best, worst = F.when(long, F.col("high")).otherwise(F.col("low")), F.when(long, F.col("low")).otherwise(F.col("high"))
-    risk = F.abs(F.col("entry") - F.col("stop"))
-    stop = sign * (worst - F.col("stop")) <= 0
-    two, one = sign * (best - F.col("target2")) >= 0, sign * (best - F.col("target1")) >= 0
+    up, down = sign * (best - F.col("entry")), sign * (worst - F.col("entry"))
+    if "risk" in path.columns:
+        risk, first, second = F.col("risk"), F.col("reward1"), F.col("reward2")
+        stop, two, one = down <= -risk, up >= second, up >= first
+    else:
+        risk, first, second = (F.abs(F.col(c) - F.col("entry")) for c in ("stop", "target1", "target2"))
+        stop, two, one = sign * (worst - F.col("stop")) <= 0, sign * (best - F.col("target2")) >= 0, sign * (best - F.col("target1")) >= 0
     touch = F.when(stop & (one | two), "ambiguous").when(stop, "sl").when(two, "tp2").when(one, "tp1")
-    p = path.filter(risk > 0).withColumns({"touch": touch, "fav": sign * (best - F.col("entry")) / risk, "adv": sign * (F.col("entry") - worst) / risk, "end_r": sign * (F.col("close") - F.col("entry")) / risk, "r1": F.abs(F.col("target1") - F.col("entry")) / risk, "r2": F.abs(F.col("target2") - F.col("entry")) / risk})
+    p = path.filter(risk > 0).withColumns({"touch": touch, "fav": up / risk, "adv": sign * (F.col("entry") - worst) / risk, "end_r": sign * (F.col("close") - F.col("entry")) / risk, "r1": first / risk, "r2": second / risk})
     from pyspark.sql import Window
 
     p = p.withColumn("touched_at", F.min(F.when(F.col("touch").isNotNull(), F.col("at"))).over(Window.partitionBy("decision_id"))).filter(F.col("touched_at").isNull() | (F.col("at") <= F.col("touched_at")))

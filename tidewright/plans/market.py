@@ -189,13 +189,12 @@ def forward_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _levels(h: DataFrame) -> DataFrame:
-    """Bars with a direction as decisions at the close, with levels at fixed distances."""
-    s = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
-    return h.select(F.concat_ws("|", "symbol", F.date_format("open_time", "yyyy-MM-dd HH")).alias("decision_id"), "symbol", F.col("close_time").alias("ts"), "direction", F.col("close").alias("entry"), (F.col("close") - s * 20).alias("stop"), (F.col("close") + s * 20).alias("target1"), (F.col("close") + s * 40).alias("target2"))
+    """Bars with a direction as decisions at the close, with a stop and targets at fixed distances."""
+    return h.select(F.concat_ws("|", "symbol", F.date_format("open_time", "yyyy-MM-dd HH")).alias("decision_id"), "symbol", F.col("close_time").alias("ts"), "direction", F.col("close").alias("entry"), F.lit(20.0).alias("risk"), F.lit(20.0).alias("reward1"), F.lit(40.0).alias("reward2"))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every bar's close as a decision, long in even and short in odd hours, with levels at fixed distances."""
+    """Every bar's close as a decision, long in even and short in odd hours, with a stop and targets at fixed distances."""
     return _levels(hourly(spark, sf_dir).withColumn("direction", F.when(F.hour("open_time") % 2 == 0, "long").otherwise("short")))
 
 
