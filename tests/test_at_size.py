@@ -29,3 +29,10 @@ def test_first_touch_measures_from_the_entry(spark, sf_dir, tmp_path):
     got = {r["decision_id"]: r["first_touch"] for r in all_queries()["first_touch"](spark, d).collect()}
     assert (got["purchase|2024-01-16 02"], got["purchase|2024-01-16 04"]) == ("ambiguous", "sl")
     same(all_queries()["first_touch"](spark, d), all_sql()["first_touch"], d)
+
+
+def test_cells_of_edges_and_cells_without_losses(spark, sf_dir, tmp_path):
+    d = tables(tmp_path, sf_dir, events=EDGE)
+    got = {r["direction"]: (r["sl_rate"], r["profit_factor"]) for r in all_queries()["expectancy_cells"](spark, d).collect()}
+    assert got == {"long": (1.0, 0.0), "short": (0.0, None)}
+    same(all_queries()["expectancy_cells"](spark, d), all_sql()["expectancy_cells"], d)

@@ -226,7 +226,8 @@ def first_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(CASE WHEN sum(CASE WHEN realized_r < 0 THEN -realized_r ELSE 0 END) > 0 THEN sum(CASE WHEN realized_r > 0 THEN realized_r ELSE 0 END) / sum(CASE WHEN realized_r < 0 THEN -realized_r ELSE 0 END) END, 4) AS profit_factor, count(*) >= 20 AS sample_ok FROM r GROUP BY symbol, s""")
 def expectancy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decisions(spark, sf_dir).select("decision_id", "symbol", "direction")
-    return paths.expectancy(touches(spark, sf_dir).join(d, "decision_id"), ["symbol", "direction"])
+    cells = paths.expectancy(touches(spark, sf_dir).join(d, "decision_id"), ["symbol", "direction"])
+    return cells.withColumn("profit_factor", F.when(F.col("profit_factor") < float("inf"), F.col("profit_factor")))
 
 
 _W = "PARTITION BY symbol ORDER BY open_time"
