@@ -36,3 +36,10 @@ def test_cells_of_edges_and_cells_without_losses(spark, sf_dir, tmp_path):
     got = {r["direction"]: (r["sl_rate"], r["profit_factor"]) for r in all_queries()["expectancy_cells"](spark, d).collect()}
     assert got == {"long": (1.0, 0.0), "short": (0.0, None)}
     same(all_queries()["expectancy_cells"](spark, d), all_sql()["expectancy_cells"], d)
+
+
+def test_reasons_at_an_edge(spark, sf_dir, tmp_path):
+    d = tables(tmp_path, sf_dir, events=EDGE)
+    got = {r["reason"]: r["decisions"] for r in all_queries()["failure_reasons"](spark, d).collect()}
+    assert got["ambiguous_intrabar_touch"] == 1
+    same(all_queries()["failure_reasons"](spark, d), all_sql()["failure_reasons"], d)
