@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 
-from tests.oracle import TABLES, same
+from tests.oracle import TABLES, plain, same
 from tidewright.plans import all_queries, all_sql
 
 
@@ -14,7 +14,7 @@ def tables(tmp_path, sf_dir: str, **changed: str) -> str:
         (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
     for t, sql in changed.items():
         (tmp_path / f"{t}.parquet").unlink()
-        duckdb.connect().sql(f"copy ({sql}) to '{tmp_path}/{t}.parquet' (format parquet)")
+        duckdb.connect().sql(f"copy ({sql}) to '{tmp_path}/{t}.parquet' (format parquet, row_group_size 2048)")
     return str(tmp_path)
 
 
@@ -43,3 +43,37 @@ def test_reasons_at_an_edge(spark, sf_dir, tmp_path):
     got = {r["reason"]: r["decisions"] for r in all_queries()["failure_reasons"](spark, d).collect()}
     assert got["ambiguous_intrabar_touch"] == 1
     same(all_queries()["failure_reasons"](spark, d), all_sql()["failure_reasons"], d)
+
+
+# Half of each order's lines stand in later parts of the file. Their ratings weigh 0.3125 in all, which comes a bit lower if halves are added.
+HALVES = """
+SELECT (41 * k + 19)::BIGINT AS l_orderkey, 1::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, n::INTEGER AS l_linenumber, q::DOUBLE AS l_quantity, 1000.0::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, 'A' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '2024-01-16' AS l_shipdate
+FROM range(3000) r(k), (VALUES (1, 1, 50), (1, 4, 5), (2, 2, 50), (2, 5, 35)) v(half, n, q) ORDER BY half, k, CASE n WHEN 1 THEN 1 WHEN 4 THEN 2 WHEN 2 THEN 3 ELSE 4 END"""
+HALVED = "SELECT (41 * k + 19)::BIGINT AS o_orderkey, 1::BIGINT AS o_custkey, 'O' AS o_orderstatus, 1000.0::DOUBLE AS o_totalprice, TIMESTAMP '2024-01-16' AS o_orderdate, '5-LOW' AS o_orderpriority FROM range(3000) r(k)"
+
+
+def by_one_thread(name: str, d: str, columns: list[str]) -> list[tuple]:
+    """The SQL's rows from one thread: with more, DuckDB adds in another order each time."""
+    c = duckdb.connect(config={"threads": 1})
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    r = c.sql(all_sql()[name])
+    order = [r.columns.index(n) for n in columns]
+    return sorted(tuple(plain(row[k]) for k in order) for row in r.fetchall())
+
+
+def in_small_splits(spark, name: str, d: str) -> tuple[list[str], list[tuple]]:
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = all_queries()[name](spark, d)
+        return df.columns, sorted(tuple(plain(x) for x in row) for row in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_alignment_adds_in_the_order_of_the_file(spark, sf_dir, tmp_path):
+    d = tables(tmp_path, sf_dir, lineitem=HALVES)
+    columns, got = in_small_splits(spark, "alignment", d)
+    assert {r[columns.index("alignment")] for r in got} == {"0.313"}
+    assert got == by_one_thread("alignment", d, columns)

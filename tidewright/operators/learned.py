@@ -145,15 +145,20 @@ def matching_policy(decisions: DataFrame, policies: DataFrame) -> DataFrame:
     return decisions.join(best, "decision_id", "left")
 
 
-def alignment(views: DataFrame, by: list[str]) -> DataFrame:
+def alignment(views: DataFrame, by: list[str], order: str) -> DataFrame:
     """by, alignment (weighted mean rating), coverage (weight that is there), agreement (share of frames with its sign).
 
-    views: by, interval, rating, one row a frame. Neutral frames don't agree; without a direction there is no agreement.
+    views: by, interval, rating, order, one row a frame. Neutral frames don't agree; without a direction there is no
+    agreement. Means at half a thousandth round by their sum's last bit, so a key's few frames are added in their order,
+    however the rows are dealt to tasks.
     """
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FRAMES.items() for x in kv]), F.col("interval")), F.lit(0.1))
     v = views.withColumn("w", weight)
-    out = v.groupBy(*by).agg(F.round(F.sum(F.col("rating") * F.col("w")) / F.sum("w"), 3).alias("alignment"), F.round(F.sum(F.when(F.col("interval").isin(*FRAMES), F.col("w")).otherwise(0.0)) / sum(FRAMES.values()), 3).alias("coverage"), F.count_if(F.col("rating") > 0).alias("up"), F.count_if(F.col("rating") < 0).alias("down"), F.count("*").alias("frames"))
-    return out.withColumn("agreement", F.round(F.when(F.col("alignment") > 0, F.col("up") / F.col("frames")).when(F.col("alignment") < 0, F.col("down") / F.col("frames")), 3)).drop("up", "down")
+    frames = F.array_sort(F.collect_list(F.struct(order, (F.col("rating") * F.col("w")).alias("x"), "w")))
+    out = v.groupBy(*by).agg(frames.alias("f"), F.round(F.sum(F.when(F.col("interval").isin(*FRAMES), F.col("w")).otherwise(0.0)) / sum(FRAMES.values()), 3).alias("coverage"), F.count_if(F.col("rating") > 0).alias("up"), F.count_if(F.col("rating") < 0).alias("down"), F.count("*").alias("frames"))
+    total = lambda name: F.aggregate("f", F.lit(0.0), lambda s, x: s + x[name])
+    out = out.withColumn("alignment", F.round(total("x") / total("w"), 3))
+    return out.select(*by, "alignment", "coverage", "frames", F.round(F.when(F.col("alignment") > 0, F.col("up") / F.col("frames")).when(F.col("alignment") < 0, F.col("down") / F.col("frames")), 3).alias("agreement"))
 
 
 def regime(vix: Column, vix_before: Column, us10y: Column, us10y_before: Column, usd: Column, usd_before: Column) -> Column:

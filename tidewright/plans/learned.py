@@ -84,14 +84,15 @@ _VIEWS = "v AS (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN '15m' WHEN 2 TH
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as views of its frames, in the order of the file, in which SQL adds them with one thread."""
     n, q = F.col("l_linenumber"), F.col("l_quantity")
     frame = F.when(n == 1, "15m").when(n == 2, "1h").when(n == 3, "4h").when(n == 4, "1d").otherwise(F.concat(F.lit("1w"), n.cast("string")))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", frame.alias("interval"), F.when(q > 42, 1.0).when(q > 30, 0.5).when(q > 20, 0.0).when(q > 8, -0.5).otherwise(-1.0).alias("rating"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", frame.alias("interval"), F.when(q > 42, 1.0).when(q > 30, 0.5).when(q > 20, 0.0).when(q > 8, -0.5).otherwise(-1.0).alias("rating"), F.col("_metadata.row_index").alias("at"))
 
 
 @query("alignment", f"WITH {_VIEWS} SELECT l_orderkey, alignment, coverage, frames, round(CASE WHEN alignment > 0 THEN up / frames WHEN alignment < 0 THEN down / frames END, 3) AS agreement FROM a")
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learned.alignment(views(spark, sf_dir), ["l_orderkey"])
+    return learned.alignment(views(spark, sf_dir), ["l_orderkey"], "at")
 
 
 _INPUTS = f"""{_VIEWS}, i AS (SELECT o_orderkey, alignment, coverage, (o_custkey % 3 - 1) AS ma, (o_orderkey % 41 - 20) / 20.0::DOUBLE AS news, o_orderkey % 8 AS cnt, o_custkey % 11 <> 0 AS cal, o_custkey % 17 <> 0 AS ok, isodow(o_orderdate) < 6 AS open, o_orderkey % 13 = 0 AS event FROM orders JOIN a ON o_orderkey = l_orderkey),
