@@ -77,3 +77,10 @@ def test_alignment_adds_in_the_order_of_the_file(spark, sf_dir, tmp_path):
     columns, got = in_small_splits(spark, "alignment", d)
     assert {r[columns.index("alignment")] for r in got} == {"0.313"}
     assert got == by_one_thread("alignment", d, columns)
+
+
+def test_plans_at_the_threshold(spark, sf_dir, tmp_path):
+    d = tables(tmp_path, sf_dir, lineitem=HALVES, orders=HALVED)
+    columns, got = in_small_splits(spark, "trade_plans", d)
+    assert "below_threshold" not in {r[columns.index("gate")] for r in got}
+    assert got == by_one_thread("trade_plans", d, columns)
