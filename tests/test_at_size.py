@@ -91,3 +91,16 @@ def test_runs_don_t_depend_on_the_order_of_equal_rows(spark):
     rows = [("a", 1, False), ("a", 2, False), ("a", 2, True), ("a", 3, True)]
     got = [tuple(reports.runs(spark.createDataFrame(r, "k string, t int, lost boolean").coalesce(1), ["k"], ["t"], "lost").first()) for r in (rows, [rows[k] for k in (0, 2, 1, 3)])]
     assert got == [("a", 2, 1), ("a", 2, 1)]
+
+
+# AF: wins of a single day, whose median of 0.0159565 lies between two roundings; NO: a win and a loss.
+DEALS = """
+SELECT k::BIGINT AS l_orderkey, 1::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, 1::INTEGER AS l_linenumber, 10.0::DOUBLE AS l_quantity, price::DOUBLE AS l_extendedprice, 0.05::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, flag AS l_returnflag, status AS l_linestatus, day::TIMESTAMP AS l_shipdate
+FROM (VALUES (19, 45487.0, 'A', 'F', '2024-01-16'), (60, 45487.0, 'A', 'F', '2024-01-16'), (101, 45487.0, 'A', 'F', '2024-01-16'), (142, 50000.0, 'N', 'O', '2024-01-16'), (183, 40000.0, 'N', 'O', '2024-01-18')) v(k, price, flag, status, day)"""
+
+
+def test_account_without_losses_or_time(spark, sf_dir, tmp_path):
+    d = tables(tmp_path, sf_dir, lineitem=DEALS, orders=HALVED)
+    got = {r["symbol"]: r for r in all_queries()["account_metrics"](spark, d).collect()}["AF"]
+    assert (got["profit_factor"], got["annualized_return"], got["median_r"], got["sharpe"]) == (float("inf"), float("inf"), 0.015956, None)
+    same(all_queries()["account_metrics"](spark, d), all_sql()["account_metrics"], d)

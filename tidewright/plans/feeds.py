@@ -110,5 +110,5 @@ _DEALS = """r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY net,
 
 @query("account_metrics", f"WITH {_CURVE}, {_DEALS} SELECT symbol, points, trades, round(final / 1e13 - 1, 6) AS total_return, round((final / 1e13) ** (1 / years) - 1, 6) AS annualized_return, round(dd, 6) AS max_drawdown, round(m / sd * ann, 4) AS sharpe, round(m / down * ann, 4) AS sortino, round(((final / 1e13) ** (1 / years) - 1) / dd, 4) AS calmar, round(win_rate, 6) AS win_rate, round(expectancy / 1e9, 6) AS expectancy_r, round(mid / 1e9, 6) AS median_r, round(es / 1e9, 6) AS expected_shortfall_r, round(gp / gl, 4) AS profit_factor, round(aw / al, 4) AS payoff_ratio, round(hold, 4) AS holding_hours FROM g JOIN s USING (symbol)")
 def account_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).withColumn("r", F.col("net") / 1e9)
-    return reports.account_metrics(equity(spark, sf_dir), t, ["symbol"], "day", 1e13, ["id", "line"])
+    t = trades(spark, sf_dir).withColumn("r", F.col("net"))
+    return reports.account_metrics(equity(spark, sf_dir), t, ["symbol"], "day", 1e13, ["id", "line"], 1e9)
