@@ -46,6 +46,20 @@ def test_reasons_at_an_edge(spark, sf_dir, tmp_path):
     same(all_queries()["failure_reasons"](spark, d), all_sql()["failure_reasons"], d)
 
 
+# 20 - 17.99859 is 20 * 0.10007049999999999, which SQL rounds up at six digits, level with the gain of 2.00142.
+LEVEL = """
+SELECT row_number() OVER (ORDER BY ts)::BIGINT AS event_id, ts::TIMESTAMP AS ts, 1::BIGINT AS user_id, 'purchase' AS event_type, value::DOUBLE AS value, '{"k": 1}' AS props
+FROM (VALUES ('2024-01-16 02:10:00', 20.0), ('2024-01-16 03:10:00', 22.00142), ('2024-01-16 03:20:00', 17.99859)) v(ts, value)"""
+
+
+def test_reasons_at_a_rounding(spark, sf_dir, tmp_path):
+    d = tables(tmp_path, sf_dir, events=LEVEL)
+    got = {r["reason"] for r in all_queries()["failure_reasons"](spark, d).collect()}
+    assert got == {"adverse_excursion_dominant", "weak_favorable_excursion", "confidence_overreach"}
+    same(all_queries()["failure_reasons"](spark, d), all_sql()["failure_reasons"], d)
+    same(all_queries()["first_touch"](spark, d), all_sql()["first_touch"], d)
+
+
 # Half of each order's lines stand in later parts of the file. Their ratings weigh 0.3125 in all, which comes a bit lower if halves are added.
 HALVES = """
 SELECT (41 * k + 19)::BIGINT AS l_orderkey, 1::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, n::INTEGER AS l_linenumber, q::DOUBLE AS l_quantity, 1000.0::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, 'A' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '2024-01-16' AS l_shipdate

@@ -48,6 +48,11 @@ def market_day(ts: str) -> Column:
     return F.to_date(local(ts, "America/New_York") + F.expr("interval 7 hours"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded as SQL does: scaled, to the nearest whole, scaled back. round(x, digits) goes by x's decimals, where 0.40549999999999997 is under the half."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def signed(direction: Column, move: Column) -> Column:
     return F.when(direction == "long", move).when(direction == "short", -move)
 

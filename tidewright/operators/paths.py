@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.market import open_seconds
+from tidewright.functions.market import open_seconds, rounded
 from tidewright.operators.joins import banded
 
 
@@ -45,7 +45,7 @@ def first_touch(path: DataFrame) -> DataFrame:
     out = p.groupBy("decision_id").agg(F.count("*").alias("points"), F.min_by("touch", F.col("at")).alias("t0"), F.max_by("touch", F.col("at")).alias("first_touch"), F.first("touched_at").alias("touched_at"), F.max("fav").alias("mfe"), F.max("adv").alias("mae"), F.max_by("end_r", F.col("at")).alias("end_r"), F.first("r1").alias("r1"), F.first("r2").alias("r2"))
     t = F.coalesce("first_touch", F.lit("none"))
     realized = F.when(t.isin("sl", "ambiguous"), -1.0).when(t == "tp2", F.col("r2")).when(t == "tp1", F.col("r1")).otherwise(F.col("end_r"))
-    return out.select("decision_id", "points", t.alias("first_touch"), "touched_at", F.round("mfe", 6).alias("mfe_r"), F.round(F.greatest("mae", F.lit(0.0)), 6).alias("mae_r"), F.round(realized, 6).alias("realized_r"))
+    return out.select("decision_id", "points", t.alias("first_touch"), "touched_at", rounded(F.col("mfe"), 6).alias("mfe_r"), rounded(F.greatest("mae", F.lit(0.0)), 6).alias("mae_r"), rounded(realized, 6).alias("realized_r"))
 
 
 def expectancy(outcomes: DataFrame, by: list[str]) -> DataFrame:
