@@ -101,6 +101,20 @@ def test_plans_at_the_threshold(spark, sf_dir, tmp_path):
     assert got == by_one_thread("trade_plans", d, columns)
 
 
+# Lines of one order, whose alignment of -0.19, average of 1 and news of 0.95 make 0.40549999999999997.
+ONE = """
+SELECT 80::BIGINT AS l_orderkey, 1::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, n::INTEGER AS l_linenumber, q::DOUBLE AS l_quantity, 1000.0::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, 'A' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '2024-01-16' AS l_shipdate
+FROM (VALUES (2, 50), (4, 25), (4, 5), (4, 5)) v(n, q)"""
+ORDER = "SELECT 80::BIGINT AS o_orderkey, 2::BIGINT AS o_custkey, 'O' AS o_orderstatus, 1000.0::DOUBLE AS o_totalprice, TIMESTAMP '2024-01-16' AS o_orderdate, '5-LOW' AS o_orderpriority"
+
+
+def test_plans_at_a_rounding(spark, sf_dir, tmp_path):
+    d = tables(tmp_path, sf_dir, lineitem=ONE, orders=ORDER)
+    assert [(r["gate"], r["composite"]) for r in all_queries()["trade_plans"](spark, d).collect()] == [("open", 0.406)]
+    for name in ("trade_plans", "class_probabilities"):
+        same(all_queries()[name](spark, d), all_sql()[name], d)
+
+
 def test_runs_don_t_depend_on_the_order_of_equal_rows(spark):
     rows = [("a", 1, False), ("a", 2, False), ("a", 2, True), ("a", 3, True)]
     got = [tuple(reports.runs(spark.createDataFrame(r, "k string, t int, lost boolean").coalesce(1), ["k"], ["t"], "lost").first()) for r in (rows, [rows[k] for k in (0, 2, 1, 3)])]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.market import rounded
+
 # Samples and limits of a cell's policy.
 CELL_SAMPLES, BOOST_SAMPLES, GOOD_R, WEAK_FACTOR, GOOD_FACTOR = 30, 100, 0.10, 1.05, 1.20
 QUALITY_FLOOR, STABILITY_FLOOR, SORTINO_FLOOR, RECOVERY_FLOOR, CALIBRATION_CEILING = 0.55, 0.55, 0.10, 0.50, 0.25
@@ -192,8 +194,8 @@ def plan(rows: DataFrame, threshold: float = 0.15) -> DataFrame:
     """
     c = F.col
     tech = clip(c("alignment") + 0.15 * c("ma_side"), -1.0, 1.0)
-    out = rows.withColumn("tech_score", tech).withColumn("composite", F.round(0.55 * c("tech_score") + 0.45 * c("news_score"), 3))
-    out = out.withColumn("quality", F.round(0.5 * c("coverage") + 0.3 * F.least(F.lit(1.0), c("news_count") / 5) + 0.2 * c("calendar_ok").cast("int"), 3))
+    out = rows.withColumn("tech_score", tech).withColumn("composite", rounded(0.55 * c("tech_score") + 0.45 * c("news_score"), 3))
+    out = out.withColumn("quality", rounded(0.5 * c("coverage") + 0.3 * F.least(F.lit(1.0), c("news_count") / 5) + 0.2 * c("calendar_ok").cast("int"), 3))
     conviction = F.least(F.lit(100), F.bround(F.abs("composite") * 100 * c("quality")).cast("int"))
     conviction = F.when(c("calendar_ok"), conviction).otherwise(F.least(conviction, F.lit(40)))
     opposed = (c("tech_score") * c("news_score") < 0) & (F.least(F.abs("tech_score"), F.abs("news_score")) >= 0.35)

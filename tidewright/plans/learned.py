@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.market import rounded
 from tidewright.operators import learned, validation
 from tidewright.plans.catalog import query
 from tidewright.plans.market import _PATH, decisions, touches
@@ -109,7 +110,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT gate, CASE gate WHEN 'market_closed' THEN 'closed' WHEN 'event_window' THEN 'standby' WHEN 'open' THEN CASE WHEN composite > 0 THEN 'long' ELSE 'short' END ELSE 'neutral' END AS direction, count(*) AS plans, round(avg(composite), 4) AS composite, round(avg(quality), 4) AS quality, round(avg(tech), 4) AS tech_score FROM g GROUP BY ALL""")
 def trade_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = learned.plan(inputs(spark, sf_dir))
-    return p.groupBy("gate", "direction").agg(F.count("*").alias("plans"), F.round(F.avg("composite"), 4).alias("composite"), F.round(F.avg("quality"), 4).alias("quality"), F.round(F.avg("tech_score"), 4).alias("tech_score"))
+    return p.groupBy("gate", "direction").agg(F.count("*").alias("plans"), rounded(F.avg("composite"), 4).alias("composite"), rounded(F.avg("quality"), 4).alias("quality"), rounded(F.avg("tech_score"), 4).alias("tech_score"))
 
 
 @query("class_probabilities", f"WITH {_INPUTS}, x AS (SELECT o_orderkey, greatest(0.05::DOUBLE, least(0.90::DOUBLE, 0.375::DOUBLE + 0.25::DOUBLE * composite)) AS up, greatest(0.05::DOUBLE, least(0.90::DOUBLE, 0.375::DOUBLE - 0.25::DOUBLE * composite)) AS down FROM u), y AS (SELECT *, greatest(0.05::DOUBLE, 1 - up - down) AS flat FROM x) SELECT o_orderkey, round(up / (up + down + flat), 6) AS p_up, round(down / (up + down + flat), 6) AS p_down, round(flat / (up + down + flat), 6) AS p_flat FROM y")
